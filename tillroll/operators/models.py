@@ -25,12 +25,14 @@ from tillroll.operators.features import (
 # Boosting defaults. A tree of depth 6 has up to 64 leaves.
 BOOSTING = {"stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 200, "subsamplingRate": 0.8}
 N_TREES = 600
+# The vector columns take no NULLs. A user with one prior order has no median gap either.
+IMPUTED_COLUMNS = (*NULLABLE_COLUMNS, "mediana_dias_entre_ordenes_historicas")
 STOP_SHARE = 0.10
 
 
 def design_columns(columns: Sequence[str] = MODEL_COLUMNS) -> list[str]:
     """Model columns and the flags of imputed values."""
-    flags = [f"{c}_imputado" for c in NULLABLE_COLUMNS if c in columns]
+    flags = [f"{c}_imputado" for c in IMPUTED_COLUMNS if c in columns]
     return [*columns, *flags]
 
 
@@ -70,7 +72,7 @@ def nested_user_sample(
 
 def design(df: DataFrame, medians_: DataFrame, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
     """Imputed numeric columns ready for an assembler."""
-    nullable = [c for c in NULLABLE_COLUMNS if c in columns]
+    nullable = [c for c in IMPUTED_COLUMNS if c in columns]
     filled = impute_with_indicator(df, medians_, nullable)
     return filled.withColumns({c: F.col(c).cast("double") for c in design_columns(columns)})
 
@@ -87,7 +89,7 @@ def _scored(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def standardize(train: DataFrame, df: DataFrame, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
     """z-scores with the mean and deviation of train."""
-    fill = medians(train)
+    fill = medians(train, IMPUTED_COLUMNS)
     steps = Pipeline(
         stages=[
             _assembler(columns),
@@ -104,7 +106,7 @@ def train_logistic(
 
     A penalty of strength C on the summed loss is 1 / (C n) on the mean loss.
     """
-    fill = medians(train)
+    fill = medians(train, IMPUTED_COLUMNS)
     rows = design(train, fill, columns)
     n = train.count()
     steps = Pipeline(
@@ -149,7 +151,7 @@ def train_boosting(
 
     `held_out` is (user_id, es_freno); by default 10 % of the train users.
     """
-    fill = medians(train)
+    fill = medians(train, IMPUTED_COLUMNS)
     stop = early_stop_split(train, seed=seed) if held_out is None else held_out
     rows = design(train, fill, columns).join(stop, "user_id")
     steps = Pipeline(
@@ -202,7 +204,7 @@ def train_pairwise_ranker(
     pairs need not be formed: centre, weight by m, fit a regression without intercept. The cost is
     linear in the rows, and a user with very many rows is no hot spot.
     """
-    fill = medians(train)
+    fill = medians(train, IMPUTED_COLUMNS)
     names = design_columns(columns)
     rows = design(train, fill, columns).withColumn("etiqueta", F.col("etiqueta").cast("double"))
     spread = rows.agg(*[F.stddev_samp(c).alias(c) for c in names])
