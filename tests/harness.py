@@ -19,9 +19,14 @@ TABLES = (
 DATA = os.environ.get("TILLROLL_TESTDATA", "/root/testdata")
 
 
-def session(cpus: str = "8", partitions: str = "8") -> SparkSession:
+def session(
+    cpus: str = "8", partitions: str = "8", folder: str | None = None
+) -> SparkSession:
+    builder = SparkSession.builder
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("tillroll")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")

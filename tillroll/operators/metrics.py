@@ -189,10 +189,10 @@ def score(
     if segments is not None:
         users = users.join(segments.select("user_id", "segmento"), "user_id", "left")
         groups = F.array_compact(F.array(F.lit(ALL), F.col("segmento")))
+        no_segment = F.col("segmento").isNull().cast("long")
     else:
-        users = users.withColumn("segmento", F.lit(None).cast("string"))
         groups = F.array(F.lit(ALL))
-    no_segment = F.col("segmento").isNull().cast("long")
+        no_segment = F.lit(0).cast("long")
     user_rows = users.select(
         "modelo", "k", "targets", "new_targets", "hits", "shown", "new_shown", "new_hits",
         F.lit(1).alias("one"),

@@ -207,36 +207,31 @@ def train_pairwise_ranker(
     fill = medians(train, IMPUTED_COLUMNS)
     names = design_columns(columns)
     rows = design(train, fill, columns).withColumn("etiqueta", F.col("etiqueta").cast("double"))
-    spread = rows.agg(*[F.stddev_samp(c).alias(c) for c in names])
-    scale = spread.select(F.struct(*names)).scalar()
-    rows = rows.withColumn("_s", scale).withColumns(
-        {c: F.coalesce(F.col(c) / F.nullif(F.col(f"_s.{c}"), F.lit(0.0)), F.lit(0.0)) for c in names}
-    ).drop("_s")
     centre = rows.groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("double").alias("_m"),
+        F.count(F.lit(1)).cast("double").alias("peso"),
         *[F.avg(c).alias(f"_m_{c}") for c in [*names, "etiqueta"]],
     )
     centred = rows.join(centre, "user_id").select(
-        F.col("_m").alias("peso"),
-        *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in [*names, "etiqueta"]],
+        "peso", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in [*names, "etiqueta"]]
     )
-    steps = Pipeline(
+    # a column that is the same for all rows of a user says nothing about their order
+    spread = centred.agg(*[F.stddev_pop(c).alias(c) for c in names]).first().asDict()
+    largest = rows.agg(*[F.max(F.abs(c)).alias(c) for c in names]).first().asDict()
+    used = [c for c in names if (spread[c] or 0.0) > 1e-9 * max(largest[c] or 0.0, 1e-9)]
+    scaled = centred.select(
+        "peso", "etiqueta", *[(F.col(c) / F.lit(spread[c])).alias(c) for c in used]
+    )
+    fitted = Pipeline(
         stages=[
-            _assembler(columns),
+            VectorAssembler(inputCols=used, outputCol="x"),
             LinearRegression(
                 featuresCol="x", labelCol="etiqueta", weightCol="peso", fitIntercept=False,
                 standardization=False, regParam=reg, elasticNetParam=0.0, solver="normal",
             ),
         ]
-    )
-    fitted = steps.fit(centred)
+    ).fit(scaled)
     weights = fitted.stages[-1].coefficients.toArray().tolist()
-    # back to the unscaled columns, so that scoring is one dot product
-    scale_row = spread.first()
-    per_column = {
-        n: (w / scale_row[n] if scale_row[n] else 0.0) for n, w in zip(names, weights)
-    }
-    return per_column, fill
+    return {c: w / spread[c] for c, w in zip(used, weights)}, fill
 
 
 def score_pairwise(

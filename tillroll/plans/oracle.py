@@ -483,6 +483,7 @@ def score_sql(
     """Metric rows for cuts (label, modelo, k) of the frame `recs`."""
     values = ", ".join(f"('{label}', '{m}', {k})" for label, m, k in cuts)
     known = history or "(SELECT NULL::BIGINT AS user_id, NULL::INTEGER AS product_id WHERE false)"
+    lost = "CAST(u.user_id NOT IN (SELECT user_id FROM seg) AS INTEGER)" if segments else "0"
     seg = segments or "(SELECT NULL::BIGINT AS user_id, NULL::VARCHAR AS segmento WHERE false)"
     return f"""
       WITH cut AS (SELECT * FROM (VALUES {values}) v(label, src, k)),
@@ -509,7 +510,7 @@ def score_sql(
                   ON c.label = cut.label AND c.user_id = real.user_id),
       seg AS (SELECT user_id, segmento FROM {seg} y),
       grouped AS (SELECT u.*, '__all__' AS segmento,
-                         CAST(u.user_id NOT IN (SELECT user_id FROM seg) AS INTEGER) AS lost
+                         {lost} AS lost
                   FROM users u
                   UNION ALL SELECT u.*, seg.segmento, 0 FROM users u JOIN seg USING (user_id)),
       items AS (SELECT label, segmento, count(DISTINCT product_id) AS items FROM (

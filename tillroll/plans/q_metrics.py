@@ -55,9 +55,7 @@ add(
 add(
     "m10_metric_block",
     lambda ws: metrics.evaluate(ws.ranking, ws.truth, 5, catalog_size=ws.catalog_size),
-    score_sql(_HEURISTIC, [("m", "m", 5)], f"segmento, CAST(k AS INTEGER) AS k, {_BASE}").replace(
-        "CAST(sum(lost) AS BIGINT) AS sin_segmento", "count(*) AS sin_segmento"
-    ),
+    score_sql(_HEURISTIC, [("m", "m", 5)], f"segmento, CAST(k AS INTEGER) AS k, {_BASE}"),
     _RATES,
 )
 add(
@@ -74,7 +72,7 @@ add(
     ),
     """SELECT user_id, targets, new_targets, hits, new_shown, new_hits, hits / 10 AS precision,
          hits / targets AS recall, hits > 0 AS acerto, new_shown / 10 AS novedad_ofrecida
-       FROM (SELECT user_id, count(*) AS targets, count(*) FILTER (h.product_id IS NULL) AS new_targets
+       FROM (SELECT user_id, count(*) AS targets, count(*) FILTER (h.p IS NULL) AS new_targets
              FROM x_truth LEFT JOIN (SELECT *, product_id AS p FROM x_history) h
                USING (user_id, product_id) GROUP BY 1) JOIN (
              SELECT r.user_id, count(t.product_id) AS hits,
@@ -83,7 +81,7 @@ add(
              FROM x_rank_pop r
              LEFT JOIN x_truth t ON t.user_id = r.user_id AND t.product_id = r.product_id
              LEFT JOIN x_history h ON h.user_id = r.user_id AND h.product_id = r.product_id
-             GROUP BY 1) USING (user_id)""".replace("h.product_id IS NULL) AS new_targets", "h.p IS NULL) AS new_targets"),
+             GROUP BY 1) USING (user_id)""",
     "precision recall novedad_ofrecida",
 )
 add(

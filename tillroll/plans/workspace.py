@@ -89,9 +89,7 @@ class Workspace:
     @cached_property
     def catalog(self) -> DataFrame:
         return self.store.table(
-            "catalogo",
-            lambda: tables.catalog(self.products, self.aisles, self.departments),
-            order_by=["product_id"],
+            "catalogo", lambda: tables.catalog(self.products, self.aisles, self.departments)
         )
 
     @cached_property
@@ -101,8 +99,7 @@ class Workspace:
     @cached_property
     def targets(self) -> DataFrame:
         return self.store.table(
-            "targets_train", lambda: tables.targets(self.train, self.orders),
-            order_by=["user_id", "add_to_cart_order"],
+            "targets_train", lambda: tables.targets(self.train, self.orders)
         )
 
     @cached_property
@@ -118,21 +115,19 @@ class Workspace:
     @cached_property
     def items(self) -> DataFrame:
         return self.store.table(
-            "productos", lambda: tables.item_profile(self.catalog, self.pairs),
-            order_by=["product_id"],
+            "productos", lambda: tables.item_profile(self.catalog, self.pairs)
         )
 
     @cached_property
     def users(self) -> DataFrame:
         return self.store.table(
-            "usuarios", lambda: tables.user_profile(self.orders, self.pairs), order_by=["user_id"]
+            "usuarios", lambda: tables.user_profile(self.orders, self.pairs)
         )
 
     @cached_property
     def interactions(self) -> DataFrame:
         return self.store.table(
-            "interacciones", lambda: tables.interactions(self.pairs, self.catalog),
-            order_by=["user_id", "product_id"],
+            "interacciones", lambda: tables.interactions(self.pairs, self.catalog)
         )
 
     # features --------------------------------------------------------------------------------
@@ -318,7 +313,6 @@ class Workspace:
         return self.store.table(
             "candidatos_nuevos",
             lambda: cand.final_candidates(self.unique_candidates, self.fallback, self.users),
-            order_by=["user_id", "candidate_rank"],
         )
 
     @cached_property
