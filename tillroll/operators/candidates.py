@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -330,15 +331,26 @@ def candidate_gate(
 
 
 def generate(
-    users: DataFrame, items_ranked: DataFrame, interactions: DataFrame, limits: Limits = LIMITS
+    users: DataFrame,
+    items_ranked: DataFrame,
+    interactions: DataFrame,
+    limits: Limits = LIMITS,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
 ) -> DataFrame:
-    """All steps from affinities to the final list."""
-    liked = affinities(interactions, limits)
+    """All steps from affinities to the final list.
+
+    The deduplicated proposals are read by the quota, the fallback and the final ranking. `keep`
+    may write them (and the two inputs below them) to a table, so that they are computed once.
+    """
+    liked = keep("afinidades", affinities(interactions, limits))
     proposals = union_sources(
         preselect_aisle(liked, items_ranked, limits),
         preselect_department(liked, items_ranked, limits),
         preselect_global(users, items_ranked, limits),
     )
-    unique = new_and_deduped(proposals, interactions)
-    extra = fallback(quota(users, unique, limits), items_ranked, unique, interactions, limits)
+    unique = keep("candidatos_unicos", new_and_deduped(proposals, interactions))
+    extra = keep(
+        "respaldo",
+        fallback(quota(users, unique, limits), items_ranked, unique, interactions, limits),
+    )
     return final_candidates(unique, extra, users, limits)

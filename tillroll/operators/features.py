@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import md5_key, ordinal, safe_ratio
 from tillroll.functions.prefix import md5_chunk
+from tillroll.operators.tables import cadence
 
 SEED = 42
 TRAIN_SHARE = 0.8
@@ -121,12 +122,9 @@ def target_context(orders: DataFrame) -> DataFrame:
 
 
 def pair_cadence(pairs: DataFrame) -> DataFrame:
-    """Mean days between purchases of the item by the user; NULL if bought once."""
-    span = F.col("last_days") - F.col("first_days")
+    """Days between purchases of the same item by the same user."""
     return pairs.where("user_id IS NOT NULL").select(
-        "user_id",
-        "product_id",
-        F.when(F.col("n_lines") > 1, span / (F.col("n_lines") - 1)).alias("cadencia_par"),
+        "user_id", "product_id", cadence().alias("cadencia_par")
     )
 
 
@@ -136,13 +134,13 @@ def build_features(
     users: DataFrame,
     items: DataFrame,
     context: DataFrame,
-    cadence: DataFrame,
     labels_: DataFrame,
+    cadence_: DataFrame | None = None,
 ) -> DataFrame:
     """One row per bought user-item pair of evaluable users: the 25 model columns and the label.
 
     The three user-level tables are joined with each other first, so the pairs are joined with
-    users once.
+    users once. `cadence_` may be left out if `interactions` already holds `cadencia_par`.
     """
     per_user = (
         split.join(context, "user_id")
@@ -179,10 +177,12 @@ def build_features(
         F.col("add_to_cart_order_promedio").alias("posicion_par"),
         F.col("ultima_order_dow").alias("dow_ultima_compra"),
         F.col("ultima_order_hour").alias("hora_ultima_compra"),
+        *(["cadencia_par"] if cadence_ is None else []),
     )
+    if cadence_ is not None:
+        pairs = pairs.join(cadence_, ["user_id", "product_id"], "left")
     joined = (
-        pairs.join(cadence, ["user_id", "product_id"], "left")
-        .join(labels_, ["user_id", "product_id"], "left")
+        pairs.join(labels_, ["user_id", "product_id"], "left")
         .join(per_user, "user_id")
         .join(per_item, "product_id")
     )
@@ -295,15 +295,26 @@ def quantiles(
 
 
 def impute_with_indicator(
-    df: DataFrame, medians_: DataFrame, columns: Sequence[str] = NULLABLE_COLUMNS
+    df: DataFrame,
+    medians_: DataFrame | dict[str, float],
+    columns: Sequence[str] = NULLABLE_COLUMNS,
 ) -> DataFrame:
-    """Fill NULLs with the train median and add a `<column>_imputado` flag."""
-    fill = medians_.select(
-        F.map_from_entries(F.collect_list(F.struct("variable", "mediana")))
-    ).scalar()
-    return df.withColumn("_fill", fill).withColumns(
+    """Fill NULLs with the train median and add a `<column>_imputado` flag.
+
+    `medians_` is the frame of `medians`, or its few values as a dict when they are used by many
+    jobs, as in training.
+    """
+    if isinstance(medians_, dict):
+        fill = {c: F.lit(medians_.get(c)).cast("double") for c in columns}
+    else:
+        values = medians_.select(
+            F.map_from_entries(F.collect_list(F.struct("variable", "mediana")))
+        ).scalar()
+        df = df.withColumn("_fill", values)
+        fill = {c: F.col("_fill")[c] for c in columns}
+    return df.withColumns(
         {
             **{f"{c}_imputado": F.col(c).isNull().cast("int") for c in columns},
-            **{c: F.coalesce(F.col(c), F.col("_fill")[c]) for c in columns},
+            **{c: F.coalesce(F.col(c), fill[c]) for c in columns},
         }
     ).drop("_fill")

@@ -70,13 +70,32 @@ def nested_user_sample(
     ).select("fraccion", "user_id")
 
 
-def design(df: DataFrame, medians_: DataFrame, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
+def train_medians(train: DataFrame) -> dict[str, float]:
+    """Median per imputed column: a handful of numbers that every pass over the data needs."""
+    return {r["variable"]: r["mediana"] for r in medians(train, IMPUTED_COLUMNS).collect()}
+
+
+def design(df: DataFrame, fill: dict[str, float], columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
     """Imputed numeric columns ready for an assembler."""
     nullable = [c for c in IMPUTED_COLUMNS if c in columns]
-    filled = impute_with_indicator(df, medians_, nullable)
+    filled = impute_with_indicator(df, fill, nullable)
     return filled.withColumns({c: F.col(c).cast("double") for c in design_columns(columns)})
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many even partitions as the cluster can work on.
+
+    Training makes many passes, so the input must not stay in the few partitions an adaptive join
+    leaves. Hashing the pair also spreads a user with very many rows.
+    """
+    spark = rows.sparkSession
+    n = max(
+        spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+    return rows.repartition(n, "user_id", "product_id")
+
+
 def _assembler(columns: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=design_columns(columns), outputCol="x")
 
@@ -89,7 +108,7 @@ def _scored(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def standardize(train: DataFrame, df: DataFrame, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
     """z-scores with the mean and deviation of train."""
-    fill = medians(train, IMPUTED_COLUMNS)
+    fill = train_medians(train)
     steps = Pipeline(
         stages=[
             _assembler(columns),
@@ -101,13 +120,13 @@ def standardize(train: DataFrame, df: DataFrame, columns: Sequence[str] = MODEL_
 
 def train_logistic(
     train: DataFrame, columns: Sequence[str] = MODEL_COLUMNS, c: float = 1.0, max_iter: int = 1000
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[PipelineModel, dict[str, float]]:
     """L2 logistic regression on z-scores. Returns the model and the medians it imputes with.
 
     A penalty of strength C on the summed loss is 1 / (C n) on the mean loss.
     """
-    fill = medians(train, IMPUTED_COLUMNS)
-    rows = design(train, fill, columns)
+    fill = train_medians(train)
+    rows = spread(design(train, fill, columns))
     n = train.count()
     steps = Pipeline(
         stages=[
@@ -123,7 +142,7 @@ def train_logistic(
 
 
 def score_logistic(
-    model: PipelineModel, fill: DataFrame, df: DataFrame, columns: Sequence[str] = MODEL_COLUMNS
+    model: PipelineModel, fill: dict[str, float], df: DataFrame, columns: Sequence[str] = MODEL_COLUMNS
 ) -> DataFrame:
     return _scored(model, design(df, fill, columns))
 
@@ -146,14 +165,14 @@ def train_boosting(
     columns: Sequence[str] = MODEL_COLUMNS,
     seed: int = SEED,
     held_out: DataFrame | None = None,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[PipelineModel, dict[str, float]]:
     """Boosted trees that stop when held-out train users stop improving.
 
     `held_out` is (user_id, es_freno); by default 10 % of the train users.
     """
-    fill = medians(train, IMPUTED_COLUMNS)
+    fill = train_medians(train)
     stop = early_stop_split(train, seed=seed) if held_out is None else held_out
-    rows = design(train, fill, columns).join(stop, "user_id")
+    rows = spread(design(train, fill, columns).join(stop, "user_id"))
     steps = Pipeline(
         stages=[
             _assembler(columns),
@@ -168,7 +187,7 @@ def train_boosting(
 
 
 def score_boosting(
-    model: PipelineModel, fill: DataFrame, df: DataFrame, columns: Sequence[str] = MODEL_COLUMNS
+    model: PipelineModel, fill: dict[str, float], df: DataFrame, columns: Sequence[str] = MODEL_COLUMNS
 ) -> DataFrame:
     return _scored(model, design(df, fill, columns))
 
@@ -196,7 +215,7 @@ def feature_importance(model: PipelineModel, columns: Sequence[str] = MODEL_COLU
 
 def train_pairwise_ranker(
     train: DataFrame, columns: Sequence[str] = MODEL_COLUMNS, reg: float = 1e-3
-) -> tuple[dict[str, float], DataFrame]:
+) -> tuple[dict[str, float], dict[str, float]]:
     """A linear ranker of the order inside each user.
 
     The squared loss over all pairs of a user's rows, (y_i - y_j - w(x_i - x_j))^2, equals m times
@@ -204,7 +223,7 @@ def train_pairwise_ranker(
     pairs need not be formed: centre, weight by m, fit a regression without intercept. The cost is
     linear in the rows, and a user with very many rows is no hot spot.
     """
-    fill = medians(train, IMPUTED_COLUMNS)
+    fill = train_medians(train)
     names = design_columns(columns)
     rows = design(train, fill, columns).withColumn("etiqueta", F.col("etiqueta").cast("double"))
     centre = rows.groupBy("user_id").agg(
@@ -215,11 +234,11 @@ def train_pairwise_ranker(
         "peso", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in [*names, "etiqueta"]]
     )
     # a column that is the same for all rows of a user says nothing about their order
-    spread = centred.agg(*[F.stddev_pop(c).alias(c) for c in names]).first().asDict()
+    deviation = centred.agg(*[F.stddev_pop(c).alias(c) for c in names]).first().asDict()
     largest = rows.agg(*[F.max(F.abs(c)).alias(c) for c in names]).first().asDict()
-    used = [c for c in names if (spread[c] or 0.0) > 1e-9 * max(largest[c] or 0.0, 1e-9)]
+    used = [c for c in names if (deviation[c] or 0.0) > 1e-9 * max(largest[c] or 0.0, 1e-9)]
     scaled = centred.select(
-        "peso", "etiqueta", *[(F.col(c) / F.lit(spread[c])).alias(c) for c in used]
+        "peso", "etiqueta", *[(F.col(c) / F.lit(deviation[c])).alias(c) for c in used]
     )
     fitted = Pipeline(
         stages=[
@@ -231,11 +250,11 @@ def train_pairwise_ranker(
         ]
     ).fit(scaled)
     weights = fitted.stages[-1].coefficients.toArray().tolist()
-    return {c: w / spread[c] for c, w in zip(used, weights)}, fill
+    return {c: w / deviation[c] for c, w in zip(used, weights)}, fill
 
 
 def score_pairwise(
-    weights: dict[str, float], fill: DataFrame, df: DataFrame,
+    weights: dict[str, float], fill: dict[str, float], df: DataFrame,
     columns: Sequence[str] = MODEL_COLUMNS,
 ) -> DataFrame:
     total = sum((F.lit(float(w)) * F.col(c) for c, w in weights.items()), F.lit(0.0))

@@ -7,7 +7,7 @@ lines cross the network once for all of them, already reduced by partial aggrega
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import ordinal, segment, segment_order
@@ -190,8 +190,20 @@ def segment_counts(users: DataFrame) -> DataFrame:
     )
 
 
-def interactions(pairs: DataFrame, catalog_: DataFrame) -> DataFrame:
-    """One row per user and item bought: frequency, recency in orders and days, last visit."""
+def cadence() -> Column:
+    """Mean days between purchases of the item by the user; NULL if bought once."""
+    span = F.col("last_days") - F.col("first_days")
+    return F.when(F.col("n_lines") > 1, span / (F.col("n_lines") - 1))
+
+
+def interactions(
+    pairs: DataFrame, catalog_: DataFrame, with_cadence: bool = False
+) -> DataFrame:
+    """One row per user and item bought: frequency, recency in orders and days, last visit.
+
+    `with_cadence` adds `cadencia_par`, which the feature table needs beside these columns; both
+    come from the same row of the pair history, so no join is needed to bring them together.
+    """
     bought = pairs.where("user_id IS NOT NULL")
     latest = bought.groupBy("user_id").agg(
         F.max("last_number").alias("user_last"),
@@ -218,5 +230,6 @@ def interactions(pairs: DataFrame, catalog_: DataFrame) -> DataFrame:
             F.col("hour_at_last").alias("ultima_order_hour"),
             "aisle_id",
             "department_id",
+            *([cadence().alias("cadencia_par")] if with_cadence else []),
         )
     )

@@ -342,6 +342,12 @@ def robustness_summary(by_seed: DataFrame) -> DataFrame:
     )
 
 
+def robustness_pivot(by_seed: DataFrame, ns: Sequence[int] = LIST_LENGTHS) -> DataFrame:
+    """F1 with one row per seed and one column per list length."""
+    wide = by_seed.groupBy("semilla").pivot("n", list(ns)).agg(F.first("f1"))
+    return wide.withColumnsRenamed({str(n): f"f1_n{n}" for n in ns})
+
+
 def learning_curve(
     train: DataFrame, valid: DataFrame, truth: DataFrame, fractions: Sequence[float] = FRACTIONS,
     k: int = 10, trees: int = models.N_TREES, params: dict | None = None,

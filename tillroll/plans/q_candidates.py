@@ -90,7 +90,10 @@ add(
 add("c15_final_candidates", lambda ws: ws.candidates, "SELECT * FROM x_candidates", "score_candidate")
 add(
     "c15_generate",
-    lambda ws: cand.generate(ws.users, ws.ranked_items, ws.interactions),
+    lambda ws: cand.generate(
+        ws.users, ws.ranked_items, ws.interactions,
+        keep=lambda name, df: ws.store.table(f"generate_{name}", lambda: df),
+    ),
     "SELECT * FROM x_candidates",
     "score_candidate",
 )

@@ -41,6 +41,15 @@ add(
 add("f7_build_features", lambda ws: ws.features.select(
         "user_id", "product_id", "split", "segmento_usuario", *feat.MODEL_COLUMNS, "etiqueta"),
     "SELECT * FROM x_features", _FEATURE_FLOATS)
+add(
+    "f7_features_from_separate_cadence",
+    lambda ws: feat.build_features(
+        ws.interactions, ws.split, ws.users, ws.items, feat.target_context(ws.orders),
+        feat.labels(ws.targets), feat.pair_cadence(ws.pairs),
+    ).select("user_id", "product_id", "cadencia_par", "vencimiento", "etiqueta"),
+    "SELECT user_id, product_id, cadencia_par, vencimiento, etiqueta FROM x_features",
+    "cadencia_par vencimiento",
+)
 for _letter, _col in zip(
     "abcdefg",
     (

@@ -14,6 +14,7 @@ from tillroll.plans.q_features import WEIGHT_RANKINGS
 from tillroll.plans.q_rules import POLICY_VALUES, SLOT_VALUES, hybrid_sql
 from tillroll.operators.recommend import POLICIES, POLICY
 from tillroll.plans.registry import add
+from tillroll.sources import store
 
 _RATES = (
     "precision recall recall_macro recall_micro f1 f1_micro hit_rate cobertura usuarios_completos"
@@ -344,6 +345,20 @@ def _exported(ws):
 
 
 add("s11_export_recommendations", _exported, _EXPORT)
+
+
+def _rules_report(ws):
+    path = f"{ws.store.folder}/reports/reglas"
+    store.write_report(ws.published_rules, path)
+    return store.read_rules(ws.spark, path, fmt="csv")
+
+
+add(
+    "s9_read_rules",
+    _rules_report,
+    "SELECT producto_a_id, producto_b_id, confianza FROM x_reglas WHERE confianza >= 0.02",
+    "confianza",
+)
 add(
     "s11_export_sample",
     lambda ws: export.export_recommendations(
@@ -413,7 +428,7 @@ PARAMS = {"maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 50}
 
 def _logistic(ws):
     if not hasattr(ws, "_logistic_model"):
-        ws._logistic_model = models.train_logistic(ws.part("train"), max_iter=100)
+        ws._logistic_model = models.train_logistic(ws.part("train"), max_iter=40)
     return ws._logistic_model
 
 
@@ -448,15 +463,20 @@ add(
         trees=TREES, params=PARAMS,
     ),
 )
-add(
-    "e4_seed_robustness",
-    lambda ws: ex.robustness_summary(
-        ex.seed_robustness(
-            ws.part("train"), ws.part("valid"), ws.truth, (42, 7), (5, 10, 15),
-            trees=4, params=PARAMS,
-        )
-    ),
-)
+_SEED_NS = (5, 10, 15)
+
+
+def _by_seed(ws):
+    return ws.store.table(
+        "f1_por_semilla",
+        lambda: ex.seed_robustness(
+            ws.part("train"), ws.part("valid"), ws.truth, (42, 7), _SEED_NS, trees=4, params=PARAMS
+        ),
+    )
+
+
+add("e4_seed_robustness", lambda ws: ex.robustness_summary(_by_seed(ws)))
+add("e4_seed_by_length", lambda ws: ex.robustness_pivot(_by_seed(ws), _SEED_NS))
 add(
     "e6_learning_curve",
     lambda ws: ex.learning_curve(

@@ -125,11 +125,16 @@ class Workspace:
         )
 
     @cached_property
-    def interactions(self) -> DataFrame:
+    def _interactions(self) -> DataFrame:
         return self.store.table(
-            "interacciones", lambda: tables.interactions(self.pairs, self.catalog)
+            "interacciones",
+            lambda: tables.interactions(self.pairs, self.catalog, with_cadence=True),
         )
 
+    @cached_property
+    def interactions(self) -> DataFrame:
+        return self._interactions.drop("cadencia_par")
+
     # features --------------------------------------------------------------------------------
 
     @cached_property
@@ -145,9 +150,8 @@ class Workspace:
         return self.store.table(
             "features",
             lambda: feat.build_features(
-                self.interactions, self.split, self.users, self.items,
-                feat.target_context(self.orders), feat.pair_cadence(self.pairs),
-                feat.labels(self.targets),
+                self._interactions, self.split, self.users, self.items,
+                feat.target_context(self.orders), feat.labels(self.targets),
             ),
             order_by=["user_id", "product_id"],
             partition_by=["split"],
@@ -325,6 +329,7 @@ class Workspace:
         )
 
 
+# One workspace per application and data set, so that queries share the tables they need.
 _OPEN: dict[tuple[str, str], Workspace] = {}
 
 

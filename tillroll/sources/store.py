@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.sources.raw import path_exists
+from tillroll.sources.raw import path_exists, require_inputs
 
 
 def read_table(spark: SparkSession, path: str, cols: Sequence[str] | None = None) -> DataFrame:
@@ -64,6 +64,23 @@ def publish_atomic(
     return spark.read.parquet(path)
 
 
+def read_rules(
+    spark: SparkSession, path: str, min_confidence: float = 0.02, fmt: str = "parquet"
+) -> DataFrame:
+    """Published rules as antecedent, consequent and confidence, strongest first.
+
+    `fmt` is "parquet", or "csv" for a report with a header.
+    """
+    require_inputs(spark, [path])
+    types = {"producto_a_id": "int", "producto_b_id": "int", "confianza": "double"}
+    rows = spark.read.format(fmt).option("header", True).load(path)
+    return (
+        rows.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+        .where(F.col("confianza") >= min_confidence)
+        .orderBy(F.desc("confianza"), "producto_a_id", "producto_b_id")
+    )
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Small result table as one CSV. Only for tables whose size does not grow with the data."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -125,7 +142,8 @@ class Store:
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
-
-def one_row(df: DataFrame, *cols: str) -> list:
-    """Scalar subqueries for the columns of a one-row frame."""
-    return [df.select(F.col(c)).scalar().alias(c) for c in cols]
+    def drop(self) -> None:
+        """Delete the tables of this run."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._tables.clear()
