@@ -272,8 +272,8 @@ def quantiles(
     positions fall on two neighbouring values at most, so a filter and two aggregates finish it.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    # chunks of the value range, non-decreasing in the value
-    cut = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64)
+    # a few thousand chunks of the value range, non-decreasing in the value
+    cut = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 512)
     ranked = ordinal(
         counts, by, [cut], [F.col(value)], rank="_r", running={"upto": "n"}
     ).drop("_r")

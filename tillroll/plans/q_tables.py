@@ -80,6 +80,27 @@ add(
     else None,
     "SELECT user_id, product_id FROM x_inter",
 )
+
+
+def _written(ws, name, df, **how):
+    path = f"{ws.store.folder}/written/{name}"
+    store.write_table(df, path, **how)
+    return store.read_table(ws.spark, path)
+
+
+add(
+    "s5_write_table",
+    lambda ws: _written(ws, "targets", ws.targets),
+    "SELECT * FROM x_targets",
+)
+add(
+    "s6_write_table_sorted",
+    lambda ws: _written(
+        ws, "etiquetas", ws.features.select("user_id", "product_id", "etiqueta"),
+        order_by=["user_id", "product_id"],
+    ),
+    "SELECT user_id, product_id, etiqueta FROM x_features",
+)
 add("s7_publish_atomic", _published, "SELECT * FROM x_catalogo")
 add(
     "s8_write_report",
