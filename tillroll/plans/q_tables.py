@@ -48,6 +48,12 @@ def _from_views(ws):
     )
 
 
+def _bought_pairs(ws):
+    """Two columns of a written table: the scan reads only those."""
+    path = ws.store.path("interacciones", lambda: ws.interactions)
+    return store.read_table(ws.spark, path, ["user_id", "product_id"])
+
+
 def _published(ws):
     path = f"{ws.store.folder}/publicado/catalogo"
     return store.publish_atomic(
@@ -75,9 +81,7 @@ add(
 )
 add(
     "s4_read_table",
-    lambda ws: store.read_table(ws.spark, f"{ws.store.folder}/interacciones", ["user_id", "product_id"])
-    if ws.interactions is not None
-    else None,
+    _bought_pairs,
     "SELECT user_id, product_id FROM x_inter",
 )
 

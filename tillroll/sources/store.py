@@ -142,6 +142,12 @@ class Store:
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
+    def path(self, name: str, build: Callable[[], object]) -> str:
+        """Where a table lies, after building it if it is not there yet."""
+        if name not in self._tables:
+            build()
+        return f"{self.folder}/{name}"
+
     def drop(self) -> None:
         """Delete the tables of this run."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
