@@ -17,6 +17,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def deploy(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    That is for machines that see the driver's folders; elsewhere the package is installed, or given by
+    --py-files, and this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: spark.checkpoint.dir, which all executors share.
 
@@ -37,6 +50,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's memory is
+    cleaned. Operators of many jobs call it between them, so that their disk use doesn't add up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import chat, decontaminate, line_dedup, quality_rules, sql
-from tillroll.llm.common import read, sha256
+from tillroll.llm import (
+    bpe_tree,
+    chat,
+    decontaminate,
+    line_dedup,
+    near_dup,
+    prefix_counts,
+    quality_classifier,
+    quality_rules,
+    sql,
+    suffix_dedup,
+    token_store,
+)
+from tillroll.llm.common import deploy, read, sha256
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_counts.prefix_counts(read(spark, sf_dir, "documents"), budgets=(1024,), store=False)
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_tokens(read(spark, sf_dir, "documents"))
+    return token_store.read_documents(spark, path, with_ids=False)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +46,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.classify(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return bpe_tree.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(
@@ -44,9 +81,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _deployed(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        deploy(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op3_line_dedup, op4_quality_rules, op8_chat_formatting, op9_decontamination)
-    return {f.__name__: f for f in ops}
+    ops = (
+        op1_token_counts, op2_token_store, op3_line_dedup, op4_quality_rules, op5_quality_classifier,
+        op6_bpe_tree, op7_suffix_dedup, op8_chat_formatting, op9_decontamination, op10_near_dup,
+    )
+    return {f.__name__: _deployed(f) for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
