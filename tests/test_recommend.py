@@ -1,4 +1,6 @@
-"""The two-block recommender on one invented user."""
+"""The recommender of two blocks against plain Python, on random baskets and rules."""
+
+import random
 
 import pytest
 from frames import known, recs, rules, segments
@@ -6,114 +8,96 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import recommend
 
-RULES = {1: [(10, 0.40), (11, 0.25)], 2: [(11, 0.30), (12, 0.10)]}
-RANKING = [1, 2, 3, 4, 5, 6, 7, 8, 9, 20, 21, 22]
-
-
-def suggest(spark, history, by_item, n):
-    rows = recommend.novelty_suggestions(
-        known(spark, {1: history}), rules(spark, by_item), n
-    ).orderBy("posicion").collect()
-    return [r["product_id"] for r in rows]
-
-
-def blocks(spark, segment, policy=None, ranking=None, history=(1, 2), user=1):
-    rows = recommend.two_block(
-        recs(spark, {user: ranking or RANKING}), known(spark, {user: set(history)}),
-        segments(spark, {user: segment}), rules(spark, RULES), policy=policy,
-    ).orderBy("bloque", "posicion").collect()
-    part = lambda b: [r["product_id"] for r in rows if r["bloque"] == b]
-    return part("principal"), part("sugerencia")
-
-
-@pytest.mark.parametrize(
-    "history, by_item, n, wanted",
-    [
-        ({1, 2}, RULES, 5, [10, 11, 12]),  # nothing bought, fewer than asked
-        ({1, 2}, RULES, 3, [10, 11, 12]),  # by confidence
-        ({1, 2}, RULES, 1, [10]),  # the maximum, not the sum
-        ({1}, {1: [(30, 0.5), (20, 0.5)]}, 2, [20, 30]),  # ties by item id
-        ({1, 2}, RULES, 0, []),
-        ({999}, RULES, 3, []),
-        (set(), RULES, 5, []),
-        ({1, 10}, RULES, 5, [11]),  # a bought consequent never comes back
-    ],
-)
-def test_suggestions(spark, history, by_item, n, wanted):
-    assert suggest(spark, history, by_item, n) == wanted
-
-
-def test_the_main_block_ignores_the_policy(spark):
-    without, none = blocks(spark, "heavy", {"heavy": 0})
-    main, extra = blocks(spark, "heavy", {"heavy": 5})
-    assert without == main == RANKING[:10]
-    assert (none, extra) == ([], [10, 11, 12])
-    assert not set(main) & set(extra)
-
 
-@pytest.mark.parametrize("segment, n", [("nuevo", 3), ("medio", 2), ("heavy", 1), ("?", 0)])
-def test_the_segment_sets_the_block_size(spark, segment, n):
-    main, extra = blocks(spark, segment, {"nuevo": 3, "medio": 2, "heavy": 1})
-    assert len(extra) == n
-    assert main == RANKING[:10]
-
-
-def test_both_blocks_may_be_short(spark):
-    main, extra = blocks(spark, "nuevo", ranking=[1, 2, 3], history=(1, 2, 3))
-    assert main == [1, 2, 3]
-    assert len(extra) == 3 < recommend.POLICY["nuevo"]
-
-
-def test_every_segment_gets_a_place():
-    assert all(n >= 1 for n in recommend.POLICY.values())
-
-
-def test_many_users_at_once(spark):
+def proposed(bought, by_item, n):
+    """Consequents of bought items by their best confidence, then by id, without bought ones."""
+    best = {}
+    for item in bought:
+        for out, confidence in by_item.get(item, ()):
+            if out not in bought:
+                best[out] = max(best.get(out, 0), confidence)
+    return sorted(best, key=lambda p: (-best[p], p))[:n]
+
+
+def shop(seed, users=25, items=30):
+    """Histories, rankings of the bought items, segments, and rules whose confidences often tie."""
+    rng = random.Random(seed)
+    bought = {u: set(rng.sample(range(items), rng.randint(0, 15))) for u in range(users)}
+    ranking = {u: rng.sample(range(items), rng.randint(1, 18)) for u in range(users)}
+    segs = {u: rng.choice(["nuevo", "medio", "heavy", "otro"]) for u in range(users)}
+    by_item = {
+        a: [(b, rng.choice([0.1, 0.2, 0.35, 0.6])) for b in rng.sample(range(items), rng.randint(1, 7)) if b != a]
+        for a in rng.sample(range(items), 20)
+    }
+    return bought, ranking, segs, by_item
+
+
+@pytest.mark.parametrize("seed, n", [(1, 1), (2, 3), (3, 50), (4, 0)])
+def test_suggestions_of_random_baskets(spark, seed, n):
+    bought, _, _, by_item = shop(seed)
+    rows = recommend.novelty_suggestions(known(spark, bought), rules(spark, by_item), n).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["user_id"], r["posicion"])):
+        got.setdefault(r["user_id"], []).append(r["product_id"])
+    assert {u: x for u, b in bought.items() if (x := proposed(b, by_item, n))} == got
+
+
+@pytest.mark.parametrize("policy", [None, {"nuevo": 4, "medio": 0, "heavy": 2}])
+def test_both_blocks_of_random_baskets(spark, policy):
+    bought, ranking, segs, by_item = shop(9)
     out = recommend.two_block(
-        recs(spark, {7: RANKING, 8: RANKING}), known(spark, {7: {1, 2}, 8: {1}, 9: {1}}),
-        segments(spark, {7: "nuevo", 8: "heavy", 9: "nuevo"}), rules(spark, RULES),
-        policy={"nuevo": 3, "heavy": 1},
+        recs(spark, ranking), known(spark, bought), segments(spark, segs), rules(spark, by_item), policy=policy
     )
-    extra = recommend.only_block(out, "sugerencia").collect()
-    main = recommend.only_block(out, "principal")
-    assert sorted((r["user_id"], r["product_id"]) for r in extra) == [
-        (7, 10), (7, 11), (7, 12), (8, 10),
-    ]
-    assert main.where("user_id = 7").count() == 10
-    gate = recommend.two_block_gate(out, recs(spark, {7: RANKING, 8: RANKING})).first()
-    assert (gate["usuarios"], gate["usuarios_distintos"]) == (2, 0)
-    changed = recommend.two_block_gate(out, recs(spark, {7: RANKING, 8: RANKING[::-1]})).first()
-    assert changed["usuarios_distintos"] == 1
-
-
-def hybrid(spark, ranking, extra, n, k=10):
+    sizes = policy or recommend.POLICY
+    got = {}
+    for r in out.orderBy("user_id", "bloque", "posicion").collect():
+        got.setdefault((r["user_id"], r["bloque"]), []).append(r["product_id"])
+    want = {(u, "principal"): x[:10] for u, x in ranking.items()}
+    for u, b in bought.items():
+        if extra := proposed(b, by_item, sizes.get(segs[u], 0)):
+            want[u, "sugerencia"] = extra
+    assert got == want
+    gate = recommend.two_block_gate(out, recs(spark, ranking)).first()
+    assert (gate["usuarios"], gate["usuarios_distintos"]) == (len(ranking), 0)
+    turned = {u: x[::-1] for u, x in ranking.items()}
+    changed = recommend.two_block_gate(out, recs(spark, turned)).first()["usuarios_distintos"]
+    assert changed == sum(x[:10] != x[::-1][:10] for x in ranking.values())
+
+
+def test_each_published_segment_has_room_for_something_new():
+    assert min(recommend.POLICY.values()) >= 1
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("n", [0, 1, 4])
+def test_new_items_take_the_last_places(spark, seed, n, k=8):
+    rng = random.Random(seed)
+    ranking = {u: rng.sample(range(100), rng.randint(1, 12)) for u in range(20)}
+    extra = {u: rng.sample(range(200, 260), rng.randint(0, 5)) for u in range(20)}
     sug = spark.createDataFrame(
-        [(1, p, i) for i, p in enumerate(extra, 1)], "user_id BIGINT, product_id INT, posicion INT"
+        [(u, p, i) for u, x in extra.items() for i, p in enumerate(x, 1)],
+        "user_id BIGINT, product_id INT, posicion INT",
     )
-    rows = recommend.hybrid_topk(recs(spark, {1: ranking}), sug, {"h": F.lit(n)}, k=k)
-    return [r["product_id"] for r in rows.orderBy("rank").collect()]
-
-
-@pytest.mark.parametrize(
-    "ranking, extra, n, wanted",
-    [
-        (RANKING, [70, 71], 0, RANKING[:10]),
-        (RANKING, [70, 71], 1, RANKING[:9] + [70]),
-        (RANKING, [70, 71], 3, RANKING[:8] + [70, 71]),
-        (RANKING, [], 2, RANKING[:10]),
-        ([1, 2], [70, 71], 2, [1, 2, 70, 71]),
-    ],
-)
-def test_new_items_replace_the_last_places(spark, ranking, extra, n, wanted):
-    assert hybrid(spark, ranking, extra, n) == wanted
-
-
-def test_candidates_fill_free_places(spark):
+    rows = recommend.hybrid_topk(recs(spark, ranking), sug, {"h": F.lit(n)}, k=k).orderBy("user_id", "rank").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["user_id"], []).append(r["product_id"])
+    for u in range(20):
+        new = extra[u][:n]
+        assert got.get(u, []) == ranking[u][: k - len(new)] + new
+
+
+def test_candidates_go_where_the_ranking_ends(spark, k=6):
+    rng = random.Random(8)
+    ranking = {u: rng.sample(range(100), rng.randint(0, 6)) for u in range(15)}
+    more = {u: rng.sample(range(200, 260), rng.randint(0, 9)) for u in range(15)}
     cand = spark.createDataFrame(
-        [(1, 50, 1), (1, 51, 2), (2, 60, 1), (2, 61, 2)],
+        [(u, p, i) for u, x in more.items() for i, p in enumerate(x, 1)],
         "user_id BIGINT, product_id INT, candidate_rank INT",
     )
-    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id BIGINT")
-    out = recommend.baseline_plus_fill(recs(spark, {1: [5, 6, 7]}), cand, users, k=4)
-    got = {(r["user_id"], r["rank"]): r["product_id"] for r in out.collect()}
-    assert got == {(1, 1): 5, (1, 2): 6, (1, 3): 7, (1, 4): 50, (2, 1): 60, (2, 2): 61}
+    users = spark.createDataFrame([(u,) for u in range(15)], "user_id BIGINT")
+    got = {}
+    for r in recommend.baseline_plus_fill(recs(spark, ranking), cand, users, k=k).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append((r["rank"], r["product_id"]))
+    for u in range(15):
+        assert got.get(u, []) == list(enumerate((ranking[u][:k] + more[u])[:k], 1))
