@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-Training texts are token lists; the index stores (term, text, position) for the terms that are asked
-for. A phrase is found by taking the posting list of its rarest term, moving each posting back by the
-offset of the term in the phrase, and intersecting the starts with the moved lists of all its other
-terms. What remains are exact occurrences. With a slack the same lists give proximity matches.
+Training texts are token lists; the index stores (term, text, position) for the terms of the test
+items. A phrase is found by taking the posting list of its rarest term, moving each posting back by the
+offset of the term in the phrase, and intersecting the starts with the moved lists of its next rarest
+terms and then, within the texts that are left, of all its terms. What remains are exact occurrences.
+With a slack the same lists give proximity matches.
 
 Texts are named by the digest of their content, so that copies share postings and rows with the same
 or no doc_id can't be mixed up.
@@ -11,10 +12,10 @@ or no doc_id can't be mixed up.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import ascii_lower, digest, saved, sha256
+from tillroll.llm.common import ascii_lower, digest, release, saved, sha256
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,58 +70,74 @@ def window_terms(windows: DataFrame) -> DataFrame:
     return distinct.select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of the given distinct terms occurs in the training texts."""
-    text = _pieces(F.col("text"))
-    found = docs.select(F.explode(text).alias("term")).join(terms, "term", "left_semi")
-    return found.groupBy("term").agg(F.count("*").alias("n"))
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Posting lists (term, content, pos) of the given distinct terms, stored in the shared folder.
 
+    Each task writes the postings of its texts, so nothing is shuffled; copies of a text repeat them.
+    """
+    return saved(tokens(docs).join(terms, "term", "left_semi"), "postings")
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Posting lists (term, content, pos) of the given distinct terms, stored in the shared folder."""
-    return saved(tokens(docs).join(terms, "term", "left_semi").distinct(), "postings")
 
+def ranked_terms(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """window, length, term, offset and rank, the rarest term of each window first.
 
-def rarest_terms(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rarest term of each window with its offset; windows with a term that never occurs are gone."""
-    known = terms.join(counts, "term", "left").groupBy("window", "length").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("r")
-    )
-    return known.where("r.n > 0").select("window", "length", "r.term", "r.offset")
+    Windows with a term that never occurs can't occur either, and are gone.
+    """
+    counts = saved(index.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+    known = terms.join(counts, "term", "left")
+    absent = known.where("n IS NULL").select("window").distinct()
+    order = Window.partitionBy("window").orderBy("n", "term", "offset")
+    ranked = known.join(absent, "window", "left_anti").withColumn("rank", F.row_number().over(order))
+    return saved(ranked.select("window", "length", "term", "offset", "rank"), "ranked-terms")
 
 
-def candidates(index: DataFrame, rarest: DataFrame) -> DataFrame:
-    """Where windows may start, by the moved posting lists of their rarest terms."""
-    rows = index.join(rarest, "term").select(
+def _starts(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Where windows begin by the moved posting lists of their rarest terms."""
+    moved = index.join(ranked.where("rank = 1"), "term").select(
         "content", "window", "length", (F.col("pos") - F.col("offset")).alias("start")
     )
-    return rows.where("start >= 0")
+    return moved.distinct()
+
+
+def _asked(cands: DataFrame, ranked: DataFrame) -> DataFrame:
+    return cands.join(ranked.select("window", "term", "offset"), "window").withColumn(
+        "pos", F.col("start") + F.col("offset")
+    )
+
 
+def candidates(index: DataFrame, ranked: DataFrame, n_rare: int = 3) -> DataFrame:
+    """content, window, length, start: what is left after intersecting the lists of the rarest terms.
 
-def _candidate_postings(docs: DataFrame, terms: DataFrame, cands: DataFrame) -> DataFrame:
+    The intersection is a semi join on text, term and moved position, so postings that copies of a text
+    repeat don't multiply.
+    """
+    left = _starts(index, ranked).where("start >= 0")
+    for rank in range(2, n_rare + 1):
+        step = ranked.where(F.col("rank") == rank)
+        lists = index.join(step.select("term").distinct(), "term", "left_semi")
+        found = _asked(left, step).join(lists, ["content", "term", "pos"], "left_semi").select(left.columns)
+        left = found.unionByName(left.join(step.select("window"), "window", "left_anti").select(left.columns))
+    return saved(left, "candidates")
+
+
+def _lists_of(docs: DataFrame, terms: DataFrame, cands: DataFrame) -> DataFrame:
     """Posting lists of all window terms, within the texts that have a candidate."""
     some = cands.select("content").distinct()
-    wanted = docs.withColumn("content", digest(F.coalesce("text", F.lit("")))).join(some, "content", "left_semi")
-    return build_index(wanted.select("text"), terms.select("term").distinct())
+    keyed = docs.select(digest(F.coalesce("text", F.lit(""))).alias("content"), "text")
+    wanted = keyed.join(some, "content", "left_semi").select("text")
+    return tokens(wanted).join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Exact occurrences of the windows in the texts: content, window, start, length."""
     terms = saved(window_terms(windows), "window-terms")
-    counts = saved(term_counts(docs, terms.select("term").distinct()), "term-counts")
-    rarest = saved(rarest_terms(terms, counts), "rarest-terms")
-    index = build_index(docs, rarest.select("term").distinct())
-    cands = saved(candidates(index, rarest), "candidates")
-    lists = _candidate_postings(docs, terms, cands)
-    asked = cands.join(terms.select("window", "offset", "term"), "window").withColumn(
-        "pos", F.col("start") + F.col("offset")
-    )
+    index = build_index(docs, terms.select("term").distinct())
+    ranked = ranked_terms(terms, index)
+    cands = candidates(index, ranked)
+    release(docs.sparkSession)
+    found = _asked(cands, ranked).join(_lists_of(docs, terms, cands), ["content", "term", "pos"], "left_semi")
     return (
-        asked.join(lists, ["content", "term", "pos"])
-        .groupBy("content", "window", "start", "length")
-        .agg(F.count("*").alias("n"))
-        .where("n = length")
-        .drop("n")
+        found.groupBy("content", "window", "start", "length").agg(F.count("*").alias("n")).where("n = length").drop("n")
     )
 
 
@@ -128,30 +145,19 @@ def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int = 3, min_t
     """Loose occurrences: content, window, start, n_terms.
 
     At least `min_terms` terms of the window (all, if it has fewer) lie within `slack` words of where
-    they would lie if the window began at `start`, which the rarest term gives. A word may serve two
-    equal terms of a window. With slack 0 and all terms these are the exact matches.
+    they would lie if the window began at `start`, which its rarest term gives; start may lie before the
+    text. Windows with a term that never occurs are not found. A word may serve two equal terms of a
+    window. With slack 0 and all terms these are the exact matches.
     """
     terms = saved(window_terms(windows), "window-terms")
-    counts = saved(term_counts(docs, terms.select("term").distinct()), "term-counts")
-    rarest = saved(
-        terms.join(counts, "term")
-        .groupBy("window", "length")
-        .agg(F.min(F.struct("n", "term", "offset")).alias("r"))
-        .select("window", "length", "r.term", "r.offset"),
-        "rarest-terms",
-    )
-    index = build_index(docs, rarest.select("term").distinct())
-    near = index.join(rarest, "term").select(
-        "content", "window", "length", (F.col("pos") - F.col("offset")).alias("start")
-    )
-    cands = saved(near, "candidates")
-    lists = _candidate_postings(docs, terms, cands)
+    index = build_index(docs, terms.select("term").distinct())
+    ranked = ranked_terms(terms, index)
+    cands = saved(_starts(index, ranked), "starts")
     # each posting is asked for at the positions within the slack, so that the join stays on keys
-    asked = cands.join(terms.select("window", "offset", "term"), "window").select(
-        "*", F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("shift")
-    ).withColumn("pos", F.col("start") + F.col("offset") + F.col("shift"))
+    asked = _asked(cands, ranked).select("*", F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("shift"))
+    asked = asked.withColumn("pos", F.col("pos") + F.col("shift"))
     return (
-        asked.join(lists, ["content", "term", "pos"])
+        asked.join(_lists_of(docs, terms, cands), ["content", "term", "pos"], "left_semi")
         .groupBy("content", "window", "start", "length")
         .agg(F.count_distinct("offset").alias("n_terms"))
         .where(F.col("n_terms") >= F.least(F.lit(min_terms), F.col("length")))
@@ -174,6 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
     windows = saved(test_windows(benchmark, size), "windows")
     found = saved(phrase_matches(docs.select("text"), windows), "matches")
+    release(docs.sparkSession)
     hits = (
         found.select("content", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos"))
         .distinct()
