@@ -1,8 +1,78 @@
-"""The corpus pipeline."""
+"""From raw documents to encoded ones: the corpus pipeline.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage before it kept, and returns
+a DataFrame; it is written as Parquet and read again as the next stage's documents. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillroll.llm import bpe_tree, decontaminate, line_dedup, near_dup, quality_rules
+from tillroll.llm.common import deploy, read, saved
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in `dropped`; no doc_id is a doc_id of its own."""
+    ids = saved(dropped.select(F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dropped_id")), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, as they are.
+
+    A document goes if any row with its doc_id is rejected.
+    """
+    deploy(spark)
+    return _without(docs, quality_rules.quality_rules(docs).where("NOT kept"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that other documents repeat; n_chars follows the text."""
+    deploy(spark)
+    out = line_dedup.dedup_lines(docs)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(new).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates, and all documents in no group."""
+    deploy(spark)
+    return _without(docs, near_dup.near_duplicates(docs).where("NOT kept"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    deploy(spark)
+    out = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return out.where("NOT contaminated").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the number of tokens, and digests of the ids and of the decoded text."""
+    deploy(spark)
+    return bpe_tree.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", benchmark),
+    ("encoding", encoding),
+]
+
+# SQL can't express the merges of the last stage; the rows are tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What each stage but the last returns is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
