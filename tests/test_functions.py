@@ -123,3 +123,30 @@ def test_md5_chunks_keep_the_md5_order(spark):
         "c", md5_chunk(F.col("k"))
     ).orderBy("k").collect()
     assert [r["c"] for r in rows] == sorted(r["c"] for r in rows)
+
+
+def test_ranks_with_very_many_ties_are_cut_into_chunks(spark):
+    """100 000 items that were never sold share a score; no chunk of them is large."""
+    from tillroll.operators import candidates
+
+    n = 100_000
+    scores = spark.range(n).selectExpr(
+        "CAST(id AS INT) AS product_id", "CAST(id % 3 AS INT) AS aisle_id", "1 AS department_id",
+        "CASE WHEN id < 20 THEN 0.5 - id / 1000D ELSE 0D END AS score_producto",
+    )
+    ranked = candidates.rank_items(scores, candidates.Limits(per_aisle=n, per_department=n, fallback_pool=n))
+    got = ranked.selectExpr("max(abs(rank_global - 1 - product_id))", "count(*)", "count(DISTINCT rank_departamento)")
+    assert tuple(got.first()) == (0, n, n)
+    chunks = scores.groupBy("score_producto", F.floor(F.col("product_id") / 4096)).count()
+    assert chunks.agg(F.max("count")).first()[0] <= 4096
+
+
+def test_ordinal_with_several_levels(spark):
+    rows = [(g, x, (7 * x) % 11) for g in "ab" for x in range(90)]
+    df = spark.createDataFrame(rows, "g STRING, x INT, v INT")
+    chunks = [F.floor(F.col("x") / 40), F.floor(F.col("x") / 8), F.floor(F.col("x") / 3)]
+    got = ordinal(df, ["g"], chunks, [F.col("x")], "r", size="n", running={"total": "v"}).collect()
+    assert len(got) == 180
+    for r in got:
+        assert (r["r"], r["n"]) == (r["x"] + 1, 90)
+        assert r["total"] == sum((7 * x) % 11 for x in range(r["x"] + 1))

@@ -97,8 +97,49 @@ def test_a_failed_check_publishes_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="bad table"):
         store.publish_atomic(spark.range(9), path, refuse)
     assert spark.read.parquet(path).count() == 3
-    assert not os.path.exists(path + ".partial")
     assert store.publish_atomic(spark.range(5), path).count() == 5
+    assert os.listdir(tmp_path) == ["t"]
+
+
+class FailingMoves:
+    """A file system of names whose n-th move fails."""
+
+    def __init__(self, names, fails):
+        self.names, self.fails, self.moves = dict(names), fails, 0
+
+    def exists(self, name):
+        return name in self.names
+
+    def rename(self, a, b):
+        self.moves += 1
+        if self.moves in self.fails or b in self.names:
+            return False
+        self.names[b] = self.names.pop(a)
+        return True
+
+    def delete(self, name, _):
+        self.names.pop(name, None)
+
+
+@pytest.mark.parametrize("fails", [{1}, {2}])
+def test_a_failed_move_keeps_the_old_table(fails):
+    fs = FailingMoves({"t": "old", "t.new": "new"}, fails)
+    with pytest.raises(OSError):
+        store.replace_folder(fs, "t.new", "t", "t.old")
+    assert fs.names == {"t": "old", "t.new": "new"}
+
+
+def test_a_table_that_cannot_be_moved_back_is_named():
+    fs = FailingMoves({"t": "old", "t.new": "new"}, {2, 3})
+    with pytest.raises(OSError, match="t.old"):
+        store.replace_folder(fs, "t.new", "t", "t.old")
+    assert fs.names["t.old"] == "old"
+
+
+def test_moves_leave_only_the_new_table():
+    fs = FailingMoves({"t": "old", "t.new": "new"}, set())
+    store.replace_folder(fs, "t.new", "t", "t.old")
+    assert fs.names == {"t": "new"}
 
 
 def test_parameters_keep_their_origin(spark, tmp_path):
@@ -115,6 +156,21 @@ def test_the_work_folder_is_the_one_the_session_names(spark, shared_folder):
     assert made.inputFiles()[0].startswith(f"file://{shared_folder}")
 
 
+def test_without_the_setting_the_work_folder_is_in_the_warehouse():
+    class Session:
+        conf = {"spark.sql.warehouse.dir": "hdfs://h/warehouse"}
+
+        class sparkContext:  # noqa: N801
+            getCheckpointDir = staticmethod(lambda: None)
+
+    assert store.work_folder(Session) == "hdfs://h/warehouse/tillroll"
+
+
+def test_two_calls_never_write_to_the_same_place(spark):
+    made = store.Store(spark)
+    assert made.fresh_path("t") != made.fresh_path("t")
+
+
 def test_small_report(spark, tmp_path):
     path = str(tmp_path / "r")
     store.write_report(spark.range(3), path)

@@ -25,29 +25,40 @@ def ordinal(
 ) -> DataFrame:
     """Add the 1-based position of each row inside its group, ordered by (chunk, order).
 
-    `chunk` expressions must be non-decreasing along the wanted order and must not be NULL.
-    `size` adds the number of rows of the group. `running` maps a new column to the column
-    whose inclusive running sum it holds.
+    `chunk` expressions must be non-decreasing along the wanted order and must not be NULL; with
+    several, each refines the one before, and none is read by a task as more than the values it has
+    within one chunk of the level above. `size` adds the number of rows of the group. `running` maps
+    a new column to the column whose inclusive running sum it holds.
     """
     running = running or {}
     by = list(by)
     keys = [f"_chunk{i}" for i in range(len(chunk))]
     cut = df.withColumns(dict(zip(keys, chunk)))
 
-    ahead = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by, *keys).agg(
+    sums = ["_n", *(f"_t_{dst}" for dst in running)]
+    level = cut.groupBy(*by, *keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(src).alias(f"_t_{dst}") for dst, src in running.items()],
     )
-    offsets = totals.select(
+    offsets = None
+    for depth in range(len(keys), 0, -1):
+        above, key = [*by, *keys[: depth - 1]], keys[depth - 1]
+        ahead = Window.partitionBy(*above).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        before = level.select(
+            *above,
+            key,
+            *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_{depth}") for c in sums],
+            *([F.sum("_n").over(Window.partitionBy(*by)).alias(size)] if size and depth == 1 else []),
+        )
+        offsets = before if offsets is None else offsets.join(before, [*above, key])
+        level = level.groupBy(*above).agg(*[F.sum(c).alias(c) for c in sums])
+    added = lambda c: sum((F.col(f"{c}_{d}") for d in range(2, len(keys) + 1)), F.col(f"{c}_1"))
+    offsets = offsets.select(
         *by,
         *keys,
-        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"),
-        *([F.sum("_n").over(Window.partitionBy(*by)).alias(size)] if size else []),
-        *[
-            F.coalesce(F.sum(f"_t_{dst}").over(ahead), F.lit(0)).alias(f"_b_{dst}")
-            for dst in running
-        ],
+        added("_n").alias("_before"),
+        *([size] if size else []),
+        *[added(f"_t_{dst}").alias(f"_b_{dst}") for dst in running],
     )
 
     local = Window.partitionBy(*by, *keys).orderBy(*order)

@@ -58,9 +58,11 @@ def item_score(items: DataFrame) -> DataFrame:
 def rank_items(scores: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Rank of each item in its aisle, its department and overall, cut to the ranks in use.
 
-    Chunks of the score keep every sort small, whatever the size of the catalogue or of one aisle.
+    Chunks of the score, and of the ids of items with the same score, keep every sort small, whatever
+    the size of the catalogue or of one aisle, and however many items were never sold.
     """
-    chunk = F.floor(-F.coalesce("score_producto", F.lit(-1.0)) * 4096)
+    score = -F.coalesce("score_producto", F.lit(-1.0))
+    chunks = [F.floor(score * 4096), score, F.floor(F.col("product_id") / 4096)]
     order = [F.desc("score_producto"), F.col("product_id")]
     ranked = scores
     for name, by in (
@@ -68,7 +70,7 @@ def rank_items(scores: DataFrame, limits: Limits = LIMITS) -> DataFrame:
         ("rank_departamento", ["department_id"]),
         ("rank_global", []),
     ):
-        ranked = ordinal(ranked, by, [chunk], order, rank=name)
+        ranked = ordinal(ranked, by, chunks, order, rank=name)
     return ranked.where(
         (F.col("rank_pasillo") <= limits.per_aisle)
         | (F.col("rank_departamento") <= limits.per_department)

@@ -308,7 +308,9 @@ def popularity_positions(baskets: DataFrame) -> DataFrame:
     return ordinal(
         sold,
         by=[],
-        chunk=[-F.col("compras"), F.floor(F.col("product_id") / 100_000)],
+        chunk=[
+            F.floor(-F.log2("compras")), -F.col("compras"), F.floor(F.col("product_id") / 100_000)
+        ],
         order=[F.col("product_id")],
         rank="puesto",
         running={"acumulado": "compras"},

@@ -237,14 +237,7 @@ CTES: dict[str, str] = {
         UNION ALL BY NAME SELECT 'heuristica' AS modelo, * FROM x_top10""",
     # rules
     "x_n": "SELECT count(DISTINCT order_id)::DOUBLE AS n FROM x_prior",
-    "x_lim": """
-        SELECT CASE WHEN c <= 5000 THEN 5 WHEN c <= 50000 THEN 20 WHEN c <= 500000 THEN 100
-                    ELSE 500 END AS min_orders,
-               CASE WHEN c <= 5000 THEN 3 WHEN c <= 50000 THEN 5 WHEN c <= 500000 THEN 20
-                    ELSE 100 END AS min_pairs,
-               CASE WHEN c <= 5000 THEN 0.05::DOUBLE WHEN c <= 500000 THEN 0.03::DOUBLE
-                    ELSE 0.05::DOUBLE END AS min_conf
-        FROM (SELECT count(*) AS c FROM x_orders WHERE eval_set = 'prior')""",
+    "x_lim": "SELECT 5 AS min_orders, 3 AS min_pairs, 0.05::DOUBLE AS min_conf",
     "x_support": """
         SELECT product_id, count(*) AS ordenes_con FROM x_prior GROUP BY 1
         HAVING count(*) >= (SELECT min_orders FROM x_lim)""",
@@ -420,14 +413,6 @@ CTES: dict[str, str] = {
     "x_basket": """
         SELECT order_id, count(*) AS n_items, count(DISTINCT department_id) AS n_deptos
         FROM x_prior JOIN x_products USING (product_id) GROUP BY 1""",
-    "x_top200_pairs": """
-        SELECT p.product_id AS a, q.product_id AS b, count(*) AS ordenes_juntos
-        FROM x_prior p JOIN x_prior q ON p.order_id = q.order_id AND p.product_id < q.product_id
-        WHERE p.product_id IN (SELECT product_id FROM x_prior GROUP BY 1
-                               ORDER BY count(*) DESC, product_id LIMIT 120)
-          AND q.product_id IN (SELECT product_id FROM x_prior GROUP BY 1
-                               ORDER BY count(*) DESC, product_id LIMIT 120)
-        GROUP BY 1, 2 HAVING count(*) >= 20""",
     "x_item_counts": "SELECT product_id, count(*)::DOUBLE AS c FROM x_prior GROUP BY 1",
     "x_lifts": """
         SELECT a, b, ordenes_juntos, ordenes_juntos / n AS soporte,
@@ -436,6 +421,15 @@ CTES: dict[str, str] = {
         FROM x_top200_pairs CROSS JOIN x_n JOIN x_item_counts sa ON sa.product_id = a
         JOIN x_item_counts sb ON sb.product_id = b""",
 }
+for _top in (200, 400):
+    CTES[f"x_top{_top}_pairs"] = f"""
+        SELECT p.product_id AS a, q.product_id AS b, count(*) AS ordenes_juntos
+        FROM x_prior p JOIN x_prior q ON p.order_id = q.order_id AND p.product_id < q.product_id
+        WHERE p.product_id IN (SELECT product_id FROM x_prior GROUP BY 1
+                               ORDER BY count(*) DESC, product_id LIMIT {_top})
+          AND q.product_id IN (SELECT product_id FROM x_prior GROUP BY 1
+                               ORDER BY count(*) DESC, product_id LIMIT {_top})
+        GROUP BY 1, 2 HAVING count(*) >= 20"""
 for _key in ("aisle", "aisle_id", "department_id"):
     CTES[f"x_baskets_{_key}"] = (
         f"SELECT DISTINCT order_id, {_key} FROM x_prior JOIN x_catalogo USING (product_id)"

@@ -137,7 +137,7 @@ add(
 )
 add(
     "d8_segment_department_shift",
-    lambda ws: eda.segment_department_shift(ws.prior, ws.orders, _depth(ws), ws.catalog, 4),
+    lambda ws: eda.segment_department_shift(ws.prior, ws.orders, _depth(ws), ws.catalog, 8),
     """SELECT * FROM (
          SELECT department, heavy, nuevo, heavy - nuevo AS dif FROM (
            SELECT department,
@@ -146,7 +146,7 @@ add(
              100.0::DOUBLE * coalesce(sum(n) FILTER (segmento = 'nuevo'), 0)
                / sum(sum(n) FILTER (segmento = 'nuevo')) OVER () AS nuevo
            FROM x_seg_lines JOIN x_catalogo USING (product_id) GROUP BY 1))
-       ORDER BY abs(dif) DESC, department LIMIT 4""",
+       ORDER BY abs(dif) DESC, department LIMIT 8""",
     "heavy nuevo dif",
 )
 add("d9_basket_sizes", _baskets, "SELECT * FROM x_basket")

@@ -348,9 +348,9 @@ add("s11_export_recommendations", _exported, _EXPORT)
 
 
 def _rules_report(ws):
-    path = f"{ws.store.folder}/reports/reglas"
-    store.write_report(ws.published_rules, path)
-    return store.read_rules(ws.spark, path, fmt="csv")
+    path = ws.store.fresh_path("reglas")
+    store.write_table(ws.published_rules, path)
+    return store.read_rules(ws.spark, path)
 
 
 add(

@@ -58,12 +58,18 @@ add(
        WHERE ordenes_juntos >= 20""",
     _STRENGTH,
 )
-_TOP, _MIN = 120, 20
+# The two published numbers of best sellers.
+_TOP, _MORE, _MIN = 200, 400, 20
 add(
     "a9_topn_item_pairs",
     lambda ws: rules.topn_item_pairs(ws.prior, _TOP, _MIN),
     "SELECT * FROM x_top200_pairs",
 )
+add(
+    "a9_topn_item_pairs_400",
+    lambda ws: rules.topn_item_pairs(ws.prior, _MORE, _MIN),
+    "SELECT * FROM x_top400_pairs",
+)
 add(
     "a9_best_pairs_by_count",
     lambda ws: rules.topn_item_pairs(ws.prior, _TOP, _MIN)

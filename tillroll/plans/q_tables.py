@@ -20,11 +20,13 @@ _RAW_COUNTS = """
 
 
 def _csv_round_trip(ws):
-    """Write the six tables as header CSVs and read them back with the fixed schema."""
-    folder = f"{ws.store.folder}/csv"
-    for name, df in ws.raw.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{raw.RAW_FILES[name]}")
-    return raw.read_raw(ws.spark, folder)
+    """The six tables written once as CSVs with a header, and read with the fixed schema."""
+    if "csv" not in ws.made:
+        folder = ws.store.fresh_path("csv")
+        for name, df in ws.raw.items():
+            df.write.option("header", True).csv(f"{folder}/{raw.RAW_FILES[name]}")
+        ws.made["csv"] = folder
+    return raw.read_raw(ws.spark, ws.made["csv"])
 
 
 def _counts_from_csv(ws):
@@ -55,14 +57,14 @@ def _bought_pairs(ws):
 
 
 def _published(ws):
-    path = f"{ws.store.folder}/publicado/catalogo"
+    path = ws.store.fresh_path("catalogo")
     return store.publish_atomic(
         ws.catalog, path, lambda df: validate.require_zero(validate.surplus_rows(df, ["product_id"]), "catalogo")
     )
 
 
 def _report(ws):
-    path = f"{ws.store.folder}/reports/segmentos"
+    path = ws.store.fresh_path("segmentos")
     store.write_report(tables.segment_counts(ws.users), path)
     return ws.spark.read.schema("segmento_usuario STRING, cantidad BIGINT").option(
         "header", True
@@ -87,7 +89,7 @@ add(
 
 
 def _written(ws, name, df, **how):
-    path = f"{ws.store.folder}/written/{name}"
+    path = ws.store.fresh_path(name)
     store.write_table(df, path, **how)
     return store.read_table(ws.spark, path)
 

@@ -13,19 +13,31 @@ from tillroll.operators import rankers, recommend, rules, tables
 from tillroll.sources import mapping
 from tillroll.sources.store import Store
 
-# Rule limits as (minimum orders, minimum pairs, minimum confidence) by number of
-# history orders; the last row is the published setting.
-RULE_LIMITS = ((5_000, 5, 3, 0.05), (50_000, 20, 5, 0.03), (500_000, 100, 20, 0.03))
+# The published rule limits (minimum orders, minimum pairs, minimum confidence).
 PUBLISHED_LIMITS = (500, 100, 0.05)
+# The limits of the registered queries and of their SQL, the same for all sizes of input. The test
+# tables have a few hundred to a few hundred thousand orders; the published limits leave them no rule.
+REGISTERED_LIMITS = (5, 3, 0.05)
 
 
 class Workspace:
-    """Tables by name. Nothing runs until a table is asked for."""
-
-    def __init__(self, spark: SparkSession, source: str, folder: str | None = None):
+    """Tables by name. Nothing runs until a table is asked for.
+
+    `limits` are the minimum orders of an item, orders of a pair, and confidence of a rule.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        source: str,
+        folder: str | None = None,
+        limits: tuple[int, int, float] = PUBLISHED_LIMITS,
+    ):
         self.spark = spark
         self.source = source
+        self.limits = limits
         self.store = Store(spark, folder)
+        self.made: dict[str, object] = {}  # what the registered queries share: paths, models
 
     # raw tables ------------------------------------------------------------------------------
 
@@ -211,15 +223,6 @@ class Workspace:
 
     # rules -----------------------------------------------------------------------------------
 
-    @cached_property
-    def limits(self) -> tuple[int, int, float]:
-        """Rule limits for the size of the history."""
-        n = self.orders.where("eval_set = 'prior'").count()
-        for top, orders, pairs, confidence in RULE_LIMITS:
-            if n <= top:
-                return orders, pairs, confidence
-        return PUBLISHED_LIMITS
-
     @cached_property
     def basket_total(self) -> Column:
         return rules.basket_total(self.prior).scalar()
@@ -337,5 +340,5 @@ def workspace(spark: SparkSession, source: str) -> Workspace:
     """The workspace of this application and data set."""
     key = (spark.sparkContext.applicationId, source.rstrip("/"))
     if key not in _OPEN:
-        _OPEN[key] = Workspace(spark, key[1])
+        _OPEN[key] = Workspace(spark, key[1], limits=REGISTERED_LIMITS)
     return _OPEN[key]

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.prefix import ordinal
+
 # Part types in the order that numbers the departments.
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 DAY_GAP_UNIT = 10
 MAX_GAP = 30
+LINES_PER_CHUNK = 1024
+ORDERS_PER_CHUNK = 65_536
 
 
 def _aisle_id() -> Column:
@@ -52,8 +56,8 @@ def departments(items: DataFrame) -> DataFrame:
 def basket_lines(spark: SparkSession, directory: str, items: DataFrame) -> DataFrame:
     """One row per order and item with its cart position.
 
-    The first aggregate removes repeats before the per-order sort, so an order reaches that sort
-    with at most one row per catalogue item.
+    The first aggregate removes repeats. Line numbers are unique within an order, so chunks of them
+    cut one very large order into small sorts.
     """
     lineitem = spark.read.parquet(f"{directory}/lineitem.parquet").select(
         F.col("l_orderkey").alias("order_id"),
@@ -65,17 +69,21 @@ def basket_lines(spark: SparkSession, directory: str, items: DataFrame) -> DataF
         .groupBy("order_id", "product_id")
         .agg(F.min("l_linenumber").alias("line"))
     )
-    in_cart = Window.partitionBy("order_id").orderBy("line", "product_id")
-    return lines.select(
-        "order_id", "product_id", F.row_number().over(in_cart).alias("add_to_cart_order")
+    placed = ordinal(
+        lines,
+        by=["order_id"],
+        chunk=[F.floor(F.coalesce("line", F.lit(0)) / LINES_PER_CHUNK)],
+        order=[F.col("line"), F.col("product_id")],
+        rank="add_to_cart_order",
     )
+    return placed.select("order_id", "product_id", F.col("add_to_cart_order").cast("int").alias("add_to_cart_order"))
 
 
 def orders(spark: SparkSession, directory: str, lines: DataFrame) -> DataFrame:
     """Orders with at least one line, of users with at least two such orders.
 
     A user's days are bounded by the calendar, their orders are not. The window runs over one row
-    per user and day; inside a day only that day's orders are sorted.
+    per user and day; inside a day orders are numbered in chunks of their ids.
     """
     kept = (
         spark.read.parquet(f"{directory}/orders.parquet")
@@ -102,9 +110,12 @@ def orders(spark: SparkSession, directory: str, lines: DataFrame) -> DataFrame:
         )
         .where("total >= 2")
     )
-    in_day = Window.partitionBy("user_id", "day").orderBy("order_id")
-    placed = kept.join(days, ["user_id", "day"]).withColumn(
-        "in_day", F.row_number().over(in_day)
+    placed = ordinal(
+        kept.join(days, ["user_id", "day"]),
+        by=["user_id", "day"],
+        chunk=[F.floor(F.col("order_id") / ORDERS_PER_CHUNK)],
+        order=[F.col("order_id")],
+        rank="in_day",
     )
     number = F.col("before") + F.col("in_day")
     gap = F.floor(F.date_diff("day", "previous_day") / DAY_GAP_UNIT)

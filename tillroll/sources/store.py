@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -42,28 +42,45 @@ def write_table(
 def publish_atomic(
     df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None
 ) -> DataFrame:
-    """Write beside the target, check what was written, then rename over it.
+    """Write beside the target, check what was written, then put it in the target's place.
 
-    Readers see the old table or the new one. If the check fails, the partial copy is removed.
+    The old table is moved aside before and deleted after. If the check or a rename fails, the old
+    table is moved back and the new copy is removed, so one whole table is always there, though for
+    the time between the two renames under its name with `.old` and a number. Both names are new for
+    each call, so that two writers don't meet.
     """
     spark = df.sparkSession
+    nr = uuid.uuid4().hex[:12]
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    partial, target = jvm_path(f"{path}.partial"), jvm_path(path)
+    fresh, old, target = jvm_path(f"{path}.new-{nr}"), jvm_path(f"{path}.old-{nr}"), jvm_path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        write_table(df, partial.toString())
+        write_table(df, fresh.toString())
         if check:
-            check(spark.read.parquet(partial.toString()))
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(partial, target):
-            raise OSError(f"could not publish {path}")
+            check(spark.read.parquet(fresh.toString()))
+        replace_folder(fs, fresh, target, old)
     except BaseException:
-        fs.delete(partial, True)
+        fs.delete(fresh, True)
         raise
     return spark.read.parquet(path)
 
 
+def replace_folder(fs, fresh, target, old) -> None:
+    """Move `fresh` to `target`, by way of `old` for what is there; on failure all is as before."""
+    before = fs.exists(target)
+    if before and not fs.rename(target, old):
+        raise OSError(f"could not move {target} aside")
+    try:
+        if not fs.rename(fresh, target):
+            raise OSError(f"could not publish {target}")
+    except BaseException:
+        if before and not fs.rename(old, target):
+            raise OSError(f"the old table is left at {old}") from None
+        raise
+    if before:
+        fs.delete(old, True)
+
+
 def read_rules(
     spark: SparkSession, path: str, min_confidence: float = 0.02, fmt: str = "parquet"
 ) -> DataFrame:
@@ -103,24 +120,19 @@ def load_params(spark: SparkSession, path: str, default: dict) -> tuple[dict, st
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the folder the cluster names in spark.checkpoint.dir. Only a local session without that
-    setting gets a temporary one, since executors elsewhere could not read it.
+    It is the folder the cluster names in spark.checkpoint.dir, and without that setting a folder in
+    the warehouse, which all executors reach as well. The session's settings are left as they are.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tillroll-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/tillroll").rstrip("/")
 
 
 class Store:
     """Intermediate tables of one run: each is built once, written, and read back.
 
     Reading back cuts the lineage and gives later jobs column pruning, pushed filters and real
-    statistics, and a lost executor costs only the tasks it ran.
+    statistics, and a lost executor costs only the tasks it ran. `drop` removes the tables; it is also
+    called when the driver's Python ends with the session still open.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
@@ -128,6 +140,18 @@ class Store:
         base = folder or work_folder(spark)
         self.folder = os.path.join(base, f"tables-{uuid.uuid4().hex[:12]}")
         self._tables: dict[str, DataFrame] = {}
+        atexit.register(self._drop_at_exit)
+
+    def fresh_path(self, name: str) -> str:
+        """A path in the folder that no other call gets."""
+        return f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def _drop_at_exit(self) -> None:
+        try:
+            if self.spark.sparkContext._jsc is not None:
+                self.drop()
+        except Exception:  # the JVM has gone: nothing can be deleted any more
+            return
 
     def table(
         self,
