@@ -293,14 +293,19 @@ def rule_systems(valid: DataFrame, items: DataFrame, users: DataFrame, k: int =
 def compare_all(
     train: DataFrame, valid: DataFrame, items: DataFrame, truth: DataFrame,
     catalog_size: Column | int, k: int = 10, trees: int = models.N_TREES, params: dict | None = None,
+    trained: dict[str, tuple] | None = None,
 ) -> DataFrame:
-    """The five systems, simplest first, on the same users."""
+    """The five systems, simplest first, on the same users.
+
+    `trained` may hold models that were trained on `train` before, by the names of their systems.
+    """
+    trained = trained or {}
     systems = rule_systems(valid, items, truth.select("user_id").distinct(), k)
-    logistic, fill = models.train_logistic(train)
+    logistic, fill = trained.get("regresion_logistica") or models.train_logistic(train)
     systems["regresion_logistica"] = rankers.topk(
         models.score_logistic(logistic, fill, valid), "score", k
     )
-    boosted, fill = models.train_boosting(train, trees, params)
+    boosted, fill = trained.get("boosting") or models.train_boosting(train, trees, params)
     systems["boosting"] = rankers.topk(models.score_boosting(boosted, fill, valid), "score", k)
     return metrics.compare(systems, truth, k, "popularidad", catalog_size=catalog_size)
 
