@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import string
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +53,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's memory is
-    cleaned. Operators of many jobs call it between them, so that their disk use doesn't add up."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs.
+
+    Spark deletes them once nothing on the driver refers to their job, which shows only when memory is
+    cleaned. Operators of many jobs call this between them, so that their disk use doesn't add up. The
+    second cleaning finds what only the first one's finds referred to.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def ascii_lower(text: Column) -> Column:

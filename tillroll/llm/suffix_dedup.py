@@ -30,32 +30,41 @@ SLICE = 1 << 20
 RUN_BITS = 16  # a place is where a run begins and, in the last bits, how many suffixes it has
 
 
-def runs(data: np.ndarray, size: int, depth: int) -> tuple[np.ndarray, ...]:
-    """digit, hash of all bytes, begin, number of suffixes, and whether it is known to repeat, of each run.
+def runs(data: np.ndarray, lengths: np.ndarray, size: int, depth: int) -> tuple[np.ndarray, ...]:
+    """digit, hash of all bytes, stretch, begin, number of suffixes, and whether it is known to repeat.
 
-    A run ends where the leftmost smallest string changes its place, so no two of its suffixes are
-    equal: their distances to that place differ. A run that equals an earlier one in the same stretch
-    is known to repeat; such neighbours become one row with a digit of its own.
+    `data` are the bytes of stretches with `lengths` suffixes each, one behind the other; begin counts
+    from the start of the run's stretch. A run ends where the leftmost smallest string changes its
+    place, so no two of its suffixes are equal: their distances to that place differ. A run that equals
+    an earlier one is known to repeat; such neighbours become one row with a digit of its own.
     """
     hashes = rolling.windows(rolling.prefix_sums(data), depth)
     digits = rolling.sliding_min(hashes, size - depth + 1)
     n = len(digits)
-    moved = (digits[1:] != digits[:-1]) | (hashes[: n - 1] == digits[:-1])
-    begin = np.concatenate([[0], np.flatnonzero(moved) + 1])
-    count = np.diff(begin, append=n)
+    offset = np.cumsum(lengths + size - 1) - (lengths + size - 1)
+    inside = np.zeros(n + size, np.int8)
+    inside[offset] += 1
+    inside[offset + lengths] -= 1
+    new = np.ones(n, bool)
+    new[1:] = (digits[1:] != digits[:-1]) | (hashes[: n - 1] == digits[:-1])
+    new[offset] = True
+    at = np.flatnonzero(new & (np.cumsum(inside[:n], dtype=np.int8) > 0))
+    stretch = np.searchsorted(offset, at, "right") - 1
+    count = np.minimum(np.append(at[1:], n), (offset + lengths)[stretch]) - at
     sums = rolling.prefix_sums(data, rolling.BASES[1])
-    whole = rolling.ranges(sums, begin, begin + count + size - 1, rolling.BASES[1])
-    digit = digits[begin]
+    whole = rolling.ranges(sums, at, at + count + size - 1, rolling.BASES[1])
+    digit = digits[at]
     _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
     first = first[inverse]
-    known = (first < np.arange(len(begin))) & (digit[first] == digit)
+    known = (first < np.arange(len(at))) & (digit[first] == digit)
     if known.any():
-        head = np.flatnonzero(~(known & np.concatenate([[False], known[:-1]])))
-        ends = np.append(begin, n)[np.append(head[1:], len(begin))]
-        begin, known, digit, whole = begin[head], known[head], digit[head], whole[head]
-        count = ends - begin
-        digit = np.where(known, rolling.mix(digit + begin.astype(np.uint64)), digit)
-    return digit, whole, begin, count, known
+        follows = known[1:] & known[:-1] & (stretch[1:] == stretch[:-1])
+        head = np.flatnonzero(np.concatenate([[True], ~follows]))
+        end = (at + count)[np.append(head[1:], len(at)) - 1]
+        at, known, digit, whole, stretch = at[head], known[head], digit[head], whole[head], stretch[head]
+        count = end - at
+        digit = np.where(known, rolling.mix(digit + at.astype(np.uint64)), digit)
+    return digit, whole, stretch, at - offset[stretch], count, known
 
 
 def bounded(begin: int, count: int) -> list[int]:
@@ -64,53 +73,64 @@ def bounded(begin: int, count: int) -> list[int]:
     return [at << RUN_BITS | min(step, begin + count - at) for at in range(begin, begin + count, step)]
 
 
-def _runs_of(size: int, depth: int):
-    """Rows of texts, with the places that are still open, to runs."""
+def portions(stretches: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Stretches in portions of bounded size; a long one is cut."""
+    portion, total = [], 0
+    for begin, end in stretches:
+        for at in range(begin, end, SLICE):
+            stop = min(at + SLICE, end)
+            if portion and total + stop - at > SLICE:
+                yield portion
+                portion, total = [], 0
+            portion.append((at, stop))
+            total += stop - at
+    if portion:
+        yield portion
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            open_places = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * len(batch)
-            for key, text, places in zip(batch.column("doc_id"), batch.column("text").to_pylist(), open_places):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                last = len(data) - size + 1
-                if last <= 0:
-                    continue
-                stretches = [(0, last)] if places is None else merged(np.array(places, np.int64))
-                for begin, end in stretches:
-                    for at in range(begin, end, SLICE):  # bounded memory for very long texts
-                        stop = min(at + SLICE, end)
-                        digit, whole, first, count, known = runs(data[at : stop + size - 1], size, depth)
-                        # only runs that are known to repeat are that long: no other is longer than `size`
-                        long = np.flatnonzero(count >= 1 << RUN_BITS)
-                        cut = [p for r in long for p in bounded(int(first[r]) + at, int(count[r]))[1:]]
-                        place = (first + at) << RUN_BITS | np.minimum(count, (1 << RUN_BITS) - 1)
-                        extra = np.array(cut, np.int64)
-                        n = len(extra)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.concatenate([digit.view(np.int64), extra])),
-                             pa.array(np.concatenate([whole.view(np.int64), extra])),
-                             pa.array(np.full(len(digit) + n, key.as_py(), np.int64)),
-                             pa.array(np.concatenate([place, extra])),
-                             pa.array(np.concatenate([known, np.ones(n, bool)]))],
-                            ["digit", "whole", "doc_id", "place", "known"],
-                        )
-
-    return run
 
+def _runs_of(size: int, depth: int):
+    """Rows of texts, with the places that are still open, to runs."""
 
-def gathered(batches_of):
-    """Join the many small batches of single texts to larger ones."""
+    def of_text(key: int, text: str, places: list[int] | None) -> Iterator[tuple[np.ndarray, ...]]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        last = len(data) - size + 1
+        if last <= 0:
+            return
+        for portion in portions([(0, last)] if places is None else merged(np.array(places, np.int64))):
+            begins = np.array([b for b, _ in portion])
+            lengths = np.array([e - b for b, e in portion])
+            part = [data[b : e + size - 1] for b, e in portion]
+            part = np.concatenate(part) if len(part) > 1 else part[0]
+            digit, whole, stretch, first, count, known = runs(part, lengths, size, depth)
+            first = first + begins[stretch]
+            # only runs that are known to repeat are that long: no other is longer than `size`
+            long = np.flatnonzero(count >= 1 << RUN_BITS)
+            extra = np.array([p for r in long for p in bounded(int(first[r]), int(count[r]))[1:]], np.int64)
+            place = first << RUN_BITS | np.minimum(count, (1 << RUN_BITS) - 1)
+            yield (
+                np.concatenate([digit.view(np.int64), extra]), np.concatenate([whole.view(np.int64), extra]),
+                np.full(len(digit) + len(extra), key, np.int64), np.concatenate([place, extra]),
+                np.concatenate([known, np.ones(len(extra), bool)]),
+            )
+
+    def batch_of(waiting: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*waiting)]
+        return pa.RecordBatch.from_arrays(columns, ["digit", "whole", "doc_id", "place", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, rows = [], 0
-        for batch in batches_of(batches):
-            waiting.append(batch)
-            rows += len(batch)
-            if rows >= 50_000:
-                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                waiting, rows = [], 0
+        for batch in batches:
+            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            places = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * len(keys)
+            for row in zip(keys, texts, places):
+                for found in of_text(*row):
+                    waiting.append(found)
+                    rows += len(found[0])
+                    if rows >= 50_000:
+                        yield batch_of(waiting)
+                        waiting, rows = [], 0
         if waiting:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            yield batch_of(waiting)
 
     return run
 
@@ -133,7 +153,7 @@ def radix_pass(texts: DataFrame, size: int, depth: int) -> DataFrame:
     repeated; a first one stays open if the digit's smallest and largest runs differ.
     """
     schema = "digit long, whole long, doc_id long, place long, known boolean"
-    rows = texts.mapInArrow(gathered(_runs_of(size, depth)), schema)
+    rows = texts.mapInArrow(_runs_of(size, depth), schema)
     by_digit = Window.partitionBy("digit")
     ordered = by_digit.orderBy("whole", "doc_id", "place")
     group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
