@@ -194,7 +194,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         .groupBy("content")
         .agg(F.array_sort(F.collect_set("item_id")).alias("_item_ids"))
     )
-    per_text = hits.join(items, "content").withColumnRenamed("content", "_hit_content")
+    # stored, so that the join with a text that very many rows share can be split
+    per_text = saved(hits.join(items, "content").withColumnRenamed("content", "_hit_content"), "hits")
     # counted before the join, so that a caller who doesn't want the texts doesn't shuffle them
     counted = docs.withColumns(
         {"_content": digest(F.coalesce("text", F.lit(""))), "_n_words": word_count(F.col("text"))}
