@@ -96,7 +96,8 @@ def tree_nodes(sets: DataFrame, trees: int, levels: int, leaf: int) -> DataFrame
     )
     out = None
     for i, key in enumerate(keys):
-        counts = level.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+        # stored, so that the join with a node that very many documents are in can be split
+        counts = saved(level.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), f"counts-{i + 1}")
         shared = saved(level.join(counts, key), f"level-{i + 1}")
         release(sets.sparkSession)
         small = shared if i == levels - 1 else shared.where(F.col("n") <= leaf)
