@@ -12,6 +12,7 @@ where to cut for a budget, without encoding again.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 from itertools import repeat
@@ -27,6 +28,12 @@ from tillroll.llm.vocabulary import byte_letters, load, specials
 OTHER_BLANKS = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 NO_BLANKS = frozenset("\x1c\x1d\x1e\x1f")  # blanks for Python, but not for the vocabulary's pattern
 
+# pieces that the vocabulary's pattern splits in an obvious way, if no blank but a single line feed
+# stands between them
+SIMPLE_PIECE = r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)"
+PIECES = re.compile(SIMPLE_PIECE)
+ALL_SIMPLE = re.compile(f"(?:{SIMPLE_PIECE})*")
+
 
 def blank_only(text: str) -> bool:
     return text.isspace() and not NO_BLANKS.intersection(text)
@@ -37,19 +44,40 @@ def spaced_simply(text: str) -> bool:
     return not ("  " in text or " \n" in text or "\n " in text or OTHER_BLANKS.search(text))
 
 
+class PieceSplitter:
+    """Splits texts as the pattern of a byte-level vocabulary does."""
+
+    def __init__(self, tok):
+        self.tok, self.letters = tok, byte_letters()
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text, in byte letters, as the vocabulary's pattern splits it."""
+        body = text[1:] if text.startswith(" ") and not text.startswith((" \n", "  ")) else text
+        if not body or not ALL_SIMPLE.fullmatch(body):
+            return [word for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        words = PIECES.findall(body)
+        if not body.isascii():
+            letters = self.letters
+            words = [w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in words]
+        words = [self.letters[10] if w == "\n" else w for w in words]
+        if body is not text:
+            words[0] = self.letters[32] + words[0]
+        return words
+
+
 class PrefixCounter:
     """Counts for one byte-level vocabulary. `cached` bounds the words that are remembered."""
 
-    def __init__(self, name: str, cached: int = 250_000):
+    def __init__(self, name: str, cached: int = 500_000):
         self.tok, self.cached = load(name), cached
         self.vocab = self.tok.get_vocab(with_added_tokens=False)
         self.longest = max(map(len, self.vocab))
         self.specials = specials(name)
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        letters = byte_letters()
-        self.byte = {c: b for b, c in enumerate(letters)}
-        self.inner = set(letters[0x80:0xC0])  # bytes inside a code point
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.split = PieceSplitter(self.tok).split
+        self.inner = set(byte_letters()[0x80:0xC0])  # bytes inside a code point
+        self.apart: dict[str, dict[str, bool]] = {}
+        self.n_apart = 0
         self.pieces: dict[str, list[int]] = {}
         self.clear()
 
@@ -62,12 +90,12 @@ class PrefixCounter:
         self.total = np.zeros(1 << 12, np.int64)
 
     def _stays(self, left: str, right: str) -> bool:
-        found = self.apart.get((left, right))
-        if found is None:
-            if len(self.apart) > 8 * self.cached:
-                self.apart.clear()
-            found = [t.value for t in self.tok.model.tokenize(left + right)] == [x for x in (left, right) if x]
-            self.apart[left, right] = found
+        """Whether two tokens are what the merges give for their concatenation."""
+        if self.n_apart > 8 * self.cached:
+            self.apart, self.n_apart = {}, 0
+        self.n_apart += 1
+        found = [t.value for t in self.tok.model.tokenize(left + right)] == [x for x in (left, right) if x]
+        self.apart.setdefault(left, {})[right] = found
         return found
 
     def piece(self, word: str) -> list[int]:
@@ -75,12 +103,19 @@ class PrefixCounter:
         if word in ("'re", "'ve", "'ll"):  # before its last letter, the rest is not yet one word
             return [1, 1 + self.piece(word[1])[-1], len(self.tok.model.tokenize(word))]
         last, count = [""] * (len(word) + 1), [0] * (len(word) + 1)
+        vocab, none = self.vocab, {}
         for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - self.longest), end):
+            # just one token can be the last, so the order does not matter; most are short
+            for begin in range(end - 1, max(0, end - self.longest) - 1, -1):
                 token = word[begin:end]
-                if token in self.vocab and self._stays(last[begin], token):
-                    last[end], count[end] = token, count[begin] + 1
-                    break
+                if token in vocab:
+                    left = last[begin]
+                    stays = self.apart.get(left, none).get(token)
+                    if stays is None:
+                        stays = self._stays(left, token)
+                    if stays:
+                        last[end], count[end] = token, count[begin] + 1
+                        break
             else:
                 raise ValueError(f"no token ends at {end} of {word!r}")
         return [count[i] for i in range(1, len(word) + 1) if i == len(word) or word[i] not in self.inner]
@@ -99,14 +134,14 @@ class PrefixCounter:
         """Counts at each code point of a text without special strings."""
         out: list[int] = []
         total, blank, before = 0, "", 0
-        for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(text):
+        for word in self.split(text):
             counts = self.word(word)
             at = len(out)
-            out.extend([total + c for c in counts])
+            out.extend([total + c for c in counts] if total else counts)
             if blank and blank_only(text[at]):
                 # until the next character is there, the run of blanks is still one word
                 out[at] = before + self.word(blank + word[: self._first(word)])[-1]
-            blank, before = (word, total) if blank_only(text[at : len(out)]) else ("", 0)
+            blank, before = (word, total) if text[at].isspace() and blank_only(text[at : len(out)]) else ("", 0)
             total += counts[-1]
         return out
 
@@ -158,6 +193,12 @@ class PrefixCounter:
         return (np.repeat(base, size) + self.flat[where]).astype(np.int32)
 
 
+@functools.lru_cache(maxsize=2)
+def worker_counter(name: str) -> PrefixCounter:
+    """One counter per Python worker, so that tasks after the first find most words known."""
+    return PrefixCounter(name)
+
+
 def pack(counts: np.ndarray) -> bytes:
     """Differences from prefix to prefix, in one byte each where they fit, else in four."""
     steps = np.diff(counts, prepend=np.int32(0))
@@ -199,7 +240,7 @@ def prefix_counts(
     longs = ["n_bytes", "n_tokens", *(f"fit_{b}" for b in budgets)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(vocabulary)
+        counter = worker_counter(vocabulary)
         for batch in batches:
             numbers, stored = [], []
             for text in batch.column("text").to_pylist():
