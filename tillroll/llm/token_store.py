@@ -12,9 +12,11 @@ without doc_id, of ids (4 bytes each), the first doc_id (8 bytes), the two seque
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import shared_folder
-from tillroll.llm.prefix_counts import spaced_simply
+from tillroll.llm.prefix_counts import PieceSplitter, spaced_simply
 from tillroll.llm.vocabulary import load, specials
 
 MAGIC = b"EFT1"
@@ -139,35 +141,55 @@ class Block:
 
 
 class Encoder:
-    """Ids of whole texts as the library gives them; words seen before are looked up.
+    """Ids of whole texts as the library gives them; pieces and words seen before are looked up.
 
-    Where no space has a blank beside it, a text may be cut before each space, and the library encodes
-    each distinct piece once. Other texts, and texts with special strings, go to the library whole.
+    Where no space has a blank beside it, a text may be cut before each space. The words of a new piece
+    are encoded by the library's model. Other texts, and texts with special strings, go to the library
+    whole.
     """
 
-    def __init__(self, name: str, cached: int = 300_000):
-        self.tok, self.cached, self.known = load(name), cached, {}
+    def __init__(self, name: str, cached: int = 500_000):
+        self.tok, self.cached = load(name), cached
         self.specials = specials(name)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.split = PieceSplitter(self.tok).split
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > self.cached:
+                self.words.clear()
+            found = self.words[word] = array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+        return found
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
+        """The ids as 32-bit numbers in the machine's order."""
         if not spaced_simply(text) or any(s in text for s in self.specials):
-            return self._library([text])[0]
-        first, *rest = text.split(" ")
-        pieces = [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
-        known = self.known
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        first, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else cut_before_spaces(text)
+        parts = [first, *rest] if first else rest
+        known = self.pieces
         try:
-            return b"".join([known[p] for p in pieces])
+            return b"".join([known[p] for p in parts])
         except KeyError:
             if len(known) > self.cached:
                 known.clear()
-            new = list({p for p in pieces if p not in known})
-            known.update(zip(new, self._library(new)))
-            return b"".join([known[p] for p in pieces])
+            for p in parts:
+                if p not in known:
+                    known[p] = b"".join([self._word(w) for w in self.split(p)])
+            return b"".join([known[p] for p in parts])
+
+
+def cut_before_spaces(text: str) -> list[str]:
+    first, *rest = text.split(" ")
+    return [first, *(" " + p for p in rest)]
+
+
+@functools.lru_cache(maxsize=2)
+def worker_encoder(name: str) -> Encoder:
+    """One encoder per Python worker, so that tasks after the first find most words known."""
+    return Encoder(name)
 
 
 def write_tokens(
@@ -189,9 +211,9 @@ def write_tokens(
     path = path or f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex[:12]}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         width = 2 if encoder.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        part, end = TaskContext.get().partitionId(), array("I", [end_id]).tobytes()
         block, keys, ids, n = 0, [], [], 0
 
         def full() -> pa.RecordBatch:
@@ -202,7 +224,7 @@ def write_tokens(
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 keys.append(key)
-                ids.append(np.frombuffer(encoder.encode(text or "") + end, "<u4"))
+                ids.append(np.frombuffer(encoder.encode(text or "") + end, np.uint32))
                 n += len(ids[-1])
                 if n >= block_ids:
                     yield full()
