@@ -84,7 +84,7 @@ class WordEncoder:
     The vocabulary's pattern never goes across a blank, so a text is cut at spaces and line feeds.
     """
 
-    def __init__(self, name: str, cached: int = 200_000):
+    def __init__(self, name: str, cached: int = 150_000):
         self.tok, self.cached = load(name), cached
         self.known: dict[str, tuple[list[int], str, str]] = {}
         self.name = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
@@ -104,6 +104,12 @@ class WordEncoder:
             return [known[w] for w in words]
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(name: str) -> WordEncoder:
+    """One encoder per Python worker, so that tasks after the first find most words known."""
+    return WordEncoder(name)
+
+
 def _row(ids: list[int], shown: str, decoded: str, outputs: Sequence[str]) -> list:
     made = {"n_tokens": lambda: len(ids), "ids": lambda: ids, "decoded": lambda: decoded,
             "ids_sha256": lambda: hashlib.sha256(shown.encode()).hexdigest(),
@@ -116,7 +122,7 @@ def _encode_texts(docs: DataFrame, vocabulary: str, outputs: Sequence[str]) -> D
     fields = [T.StructField(o, OUTPUTS[o]) for o in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -195,7 +201,7 @@ def _encode_long(docs: DataFrame, vocabulary: str, outputs: Sequence[str], leaf:
                 )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, joiner = WordEncoder(vocabulary), TreeJoiner(vocabulary)
+        encoder, joiner = worker_encoder(vocabulary), TreeJoiner(vocabulary)
         for batch in batches:
             tokens = []
             for kind, part in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist()):
