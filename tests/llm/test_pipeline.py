@@ -113,3 +113,18 @@ def test_the_classifier_is_right_on_labels_it_has_not_seen(spark):
 def test_all_ten_and_the_pipeline_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
     assert "pipeline" in entry.queries()
+
+
+def test_the_near_duplicate_stage_links_from_a_similarity_of_80_percent(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        near = ["changed" if k in (20, 50) else w for k, w in enumerate(words)]  # 90 of 110 shingles
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near))]
+    want = {d for d, v in brute.op10(rows, percent=80).items() if v[2]}
+    assert len(want) < len([v for v in brute.op10(rows).values() if v[2]])
+    docs = fixtures.documents(spark, rows, extra=False).withColumn("n_chars", F.char_length("text").cast("long"))
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == want
