@@ -20,23 +20,27 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dropped_id")), "left_anti")
 
 
+def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` with kept_text as the text; n_chars follows it."""
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(new).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are.
+    """Documents that the quality rules keep, without the lines that are above the limits of their host.
 
-    A document goes if any row with its doc_id is rejected.
+    Rows that share a doc_id are judged each by its own text, and together by the lines they lose.
     """
     deploy(spark)
-    return _without(docs, quality_rules.quality_rules(docs).where("NOT kept"))
+    return _with_text(quality_rules.quality_rules(docs).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents repeat; n_chars follows the text."""
     deploy(spark)
-    out = line_dedup.dedup_lines(docs)
-    new = {"text": F.col("kept_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+    return _with_text(line_dedup.dedup_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """The ten operators against brute force on hard cases, and on empty tables."""
 
+import random
+
 import brute
 import fixtures
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillroll.llm import (
     bpe_tree,
     chat,
@@ -125,6 +128,22 @@ def test_lines_of_a_host_deplete_documents(spark):
     assert all(kept[300 + i] for i in range(40))  # copies of one text count once
 
 
+def test_lines_above_the_limits_leave_the_text(spark):
+    rng = random.Random(4)
+    data = [(i, f"Top menu\n{'  TOP menu ' if i % 2 else 'x' + str(i)}\n\n{fixtures.prose(rng, 60)}", "a") for i in range(1, 31)]
+    data += [(None, "Top menu\nno id", "a"), (50, "Top menu\nother host", "b"), (50, "Top menu\nsame id", "a"), (51, None, "a")]
+    df = spark.createDataFrame(data, "doc_id BIGINT, text STRING, source STRING").withColumn("n_chars", F.lit(0))
+    want = set()
+    for d, t, host in data:
+        stays = d in (1, None) or host == "b"  # the first holder, no doc_id, a host with one such text
+        want.add((d, "\n".join(x for x in (t or "").split("\n") if stays or x.strip().lower() != "top menu")))
+    got = quality_rules.quality_rules(df).collect()
+    assert len(got) == len(data) and {(r["doc_id"], r["kept_text"]) for r in got} == want
+    out = corpus_pipeline.quality(spark, df, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {x for x in want if x[0] in range(1, 31)}
+    assert len(out) == 30 and all(len(r["text"]) == r["n_chars"] for r in out)
+
+
 # 5: classifier
 
 

@@ -37,7 +37,9 @@ def frequent_keys(pairs: DataFrame, min_docs: int) -> DataFrame:
     return counts.where(F.col("n_docs") >= min_docs)
 
 
-def _reassemble(min_chars: int):
+def reassembled(min_chars: int):
+    """(text, keys to drop) -> the text without their lines, and how many lines that were."""
+
     def one(text: str, dropped: set[bytes]) -> tuple[str, int]:
         kept, lines = [], text.split("\n")
         for line in lines:
@@ -81,7 +83,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     joined = docs.join(dropped, F.col("doc_id") == F.col("_drop_id"), "left")
     some = F.col("_drop_keys").isNotNull()
     out = joined.withColumn(
-        "_reassembled", _reassemble(min_chars)(F.when(some, text), F.col("_drop_keys"))
+        "_reassembled", reassembled(min_chars)(F.when(some, text), F.col("_drop_keys"))
     )
     return out.select(
         *[F.col(c) for c in docs.columns],

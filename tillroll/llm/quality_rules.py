@@ -1,7 +1,8 @@
 """Quality rules: counts of each text, and the frequency of its lines across the documents of a host.
 
 Normalised lines are hashed, distinct documents are counted per host and hash, lines above the limits
-are taken away, and documents that lose most of their text are rejected.
+are taken away, and documents that lose most of their text are rejected. The others come out without
+these lines.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import digest, line_key, saved
+from tillroll.llm.line_dedup import reassembled
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
+NEW = [*STAT_NAMES, "base_failed", "removed_share", "kept", "kept_text"]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -51,9 +55,8 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in STATS.split(", ")]
     for texts in batches:
-        yield pd.DataFrame([text_stats(t) for t in texts], columns=names)
+        yield pd.DataFrame([text_stats(t) for t in texts], columns=STAT_NAMES)
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
@@ -102,25 +105,30 @@ def quality_rules(
     max_share: float = 0.1,
     max_removed: float = 0.5,
 ) -> DataFrame:
-    """doc_id, the counts, base_failed, removed_share and kept for each row of `docs`.
+    """`docs` with the counts, base_failed, removed_share, kept and kept_text.
 
     Base rule: fewer than `min_words` words, or more than `max_repeat_percent` of the words inside
     repeated three-word windows. Line rule: a line is above the limits if at least `min_docs` distinct
     documents of its host, and more than `max_share` of them, hold it; it is taken away everywhere but
     in the first of these documents. A document is depleted, and rejected, if more than `max_removed`
-    of the characters of its lines are taken away.
+    of the characters of its lines are taken away. kept_text is the text without these lines, whether
+    the document is kept or not. The counts and the base rule are those of the text as it came. Existing
+    columns with the new names are replaced.
 
     Documents with the same text on a host count as one, so that copies of a page don't make its lines
-    look like boilerplate. A null text has no words and fails the base rule; a null host is a host of
-    its own; rows that share a doc_id are judged together by the line rule; a row without doc_id loses
+    look like boilerplate. A null text has no words, fails the base rule and comes out empty; a null host
+    is a host of its own; rows that share a doc_id are judged together by the line rule; a row without doc_id loses
     no line. Other columns of `docs` don't matter.
 
     Line counts are reduced before each shuffle, so that a line or host with a third of all rows is
-    one row per task; the texts are never shuffled.
+    one row per task. The texts move once, to meet the lines that their document loses, and go to Python
+    for that only where there are some; for a caller who doesn't want kept_text they don't move.
     """
+    docs = docs.drop(*NEW)
     rows = docs.select("doc_id", F.col(host).alias("host"), "text")
     frequent = saved(frequent_lines(rows, "host", min_docs, max_share), "host-lines")
     gone = (F.col("doc_id") != F.col("first_id")) & F.col("first_id").isNotNull()
+    lost = F.struct("host", "key")
     removed = (
         host_lines(rows, "host")
         .join(frequent, ["host", "key"], "left")
@@ -128,18 +136,29 @@ def quality_rules(
         .agg(
             F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("removed"),
             F.sum("chars").alias("total"),
+            F.collect_set(F.when(gone, lost)).alias("_lost"),
         )
         .where("removed > 0")
-        .select(F.col("doc_id").alias("lost_id"), (F.col("removed") / F.col("total")).alias("removed_share"))
+        .select(
+            F.col("doc_id").alias("_lost_id"), (F.col("removed") / F.col("total")).alias("_lost_share"), "_lost"
+        )
     )
     failed = (F.col("n_words") < min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent
     )
-    stats = rows.select("doc_id", F.pandas_udf(_stats, STATS)("text").alias("s")).select("doc_id", "s.*")
-    out = stats.withColumn("base_failed", failed).join(
-        removed, F.col("doc_id") == F.col("lost_id"), "left"
-    ).drop("lost_id")
-    share = F.coalesce("removed_share", F.lit(0.0))
-    return out.withColumn("removed_share", share).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("removed_share") <= max_removed)
+    stats = docs.withColumn("_stats", F.pandas_udf(_stats, STATS)("text")).select(*docs.columns, "_stats.*")
+    joined = stats.withColumn("base_failed", failed).join(removed, F.col("doc_id") == F.col("_lost_id"), "left")
+    text, own = F.coalesce("text", F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))
+    # a doc_id may come with several hosts, and a row loses the lines of its own
+    keys = F.transform(F.filter("_lost", lambda x: x["host"] == own), lambda x: x["key"])
+    some = F.col("_lost_id").isNotNull()
+    share = F.coalesce("_lost_share", F.lit(0.0))
+    out = joined.withColumn("_without", reassembled(1)(F.when(some, text), F.when(some, keys)))
+    return out.select(
+        *[F.col(c) for c in docs.columns],
+        *STAT_NAMES,
+        "base_failed",
+        share.alias("removed_share"),
+        (~F.col("base_failed") & (share <= max_removed)).alias("kept"),
+        F.when(some, F.col("_without.kept")).otherwise(text).alias("kept_text"),
     )
