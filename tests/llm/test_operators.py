@@ -267,6 +267,35 @@ def test_proximity(spark):
     assert [r["doc_id"] for r in near.collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("slack, min_terms", [(0, 8), (1, 8), (3, 8), (1, 10), (2, 6)])
+def test_proximity_finds_passages_with_changed_words(spark, slack, min_terms):
+    window = "a b c d e f g h rare often".split()
+    texts = [
+        "a b c d e f g h rare often", "a b c d e f g h changed often", "x a b c d e f g h changed often",
+        "a b c d e f y z w often", "a b c d f e g h changed often", "h a b c d e y g changed often rare",
+        "often " * 9, "a b c x d e f g h rare x often", "rare d often", "",
+    ]
+    items = [("t", " ".join(window)), ("u", "a b c d e f g nowhere h often"), ("v", "no1 no2 no3 no4 no5 d e f g h"), ("w", "f g h")]
+    windows = {i: t.split() for i, t in items}
+    want = set()
+    for t in texts:
+        w = t.split()
+        for item, terms in windows.items():
+            for start in range(-30, len(w) + 30):
+                near = [w[max(start + k - slack, 0) : max(start + k + slack + 1, 0)] for k in range(len(terms))]
+                n = sum(term in some for term, some in zip(terms, near))
+                if n >= min(min_terms, len(terms)):
+                    want.add((t, item, start, n))
+    docs = spark.createDataFrame([(t,) for t in [*texts, texts[1]]], "text STRING")
+    found = decontaminate.test_windows(spark.createDataFrame(items, "item_id STRING, text STRING"))
+    out = decontaminate.proximity_matches(docs, found, slack=slack, min_terms=min_terms)
+    named = docs.distinct().withColumn("content", F.unhex(F.md5("text")))
+    rows = out.join(named, "content").join(found, "window").select("text", "item_id", "start", "n_terms").collect()
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == want
+    if min_terms == 8:
+        assert {(t, i) for t, i, _, _ in want} >= {(texts[1], "t"), (texts[1], "u"), (texts[2], "t")}
+
+
 # 10: near duplicates
 
 

@@ -78,22 +78,25 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return saved(tokens(docs).join(terms, "term", "left_semi"), "postings")
 
 
-def ranked_terms(terms: DataFrame, index: DataFrame) -> DataFrame:
+def ranked_terms(terms: DataFrame, index: DataFrame, with_absent: bool = False) -> DataFrame:
     """window, length, term, offset and rank, the rarest term of each window first.
 
-    Windows with a term that never occurs can't occur either, and are gone.
+    Windows with a term that never occurs can't occur exactly either, and are gone, unless asked for;
+    then such terms come first.
     """
     counts = saved(index.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     known = terms.join(counts, "term", "left")
-    absent = known.where("n IS NULL").select("window").distinct()
-    order = Window.partitionBy("window").orderBy("n", "term", "offset")
-    ranked = known.join(absent, "window", "left_anti").withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("window").orderBy("n", "term", "offset")  # null first
+    if not with_absent:
+        absent = known.where("n IS NULL").select("window").distinct()
+        known = known.join(absent, "window", "left_anti")
+    ranked = known.withColumn("rank", F.row_number().over(order))
     return saved(ranked.select("window", "length", "term", "offset", "rank"), "ranked-terms")
 
 
-def _starts(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Where windows begin by the moved posting lists of their rarest terms."""
-    moved = index.join(ranked.where("rank = 1"), "term").select(
+def _starts(index: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Where windows begin by the moved posting lists of the given ones of their terms."""
+    moved = index.join(seeds, "term").select(
         "content", "window", "length", (F.col("pos") - F.col("offset")).alias("start")
     )
     return moved.distinct()
@@ -111,7 +114,7 @@ def candidates(index: DataFrame, ranked: DataFrame, n_rare: int = 3) -> DataFram
     The intersection is a semi join on text, term and moved position, so postings that copies of a text
     repeat don't multiply.
     """
-    left = _starts(index, ranked).where("start >= 0")
+    left = _starts(index, ranked.where("rank = 1")).where("start >= 0")
     for rank in range(2, n_rare + 1):
         step = ranked.where(F.col("rank") == rank)
         lists = index.join(step.select("term").distinct(), "term", "left_semi")
@@ -144,23 +147,34 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int = 3, min_terms: int = 8) -> DataFrame:
     """Loose occurrences: content, window, start, n_terms.
 
-    At least `min_terms` terms of the window (all, if it has fewer) lie within `slack` words of where
-    they would lie if the window began at `start`, which its rarest term gives; start may lie before the
-    text. Windows with a term that never occurs are not found. A word may serve two equal terms of a
-    window. With slack 0 and all terms these are the exact matches.
+    These are all starts for which at least `min_terms` terms of the window (all, if it has fewer) lie
+    within `slack` words of where they would lie if the window began there; start may lie before the
+    text, and a passage mostly has several starts. A word may serve two equal terms of a window. With
+    slack 0 and all terms these are the exact matches.
+
+    A match may lack length - min_terms terms, so one of the rarest length - min_terms + 1 is in it.
+    Their lists give the seeds. A term that never occurs is one of these and has an empty list.
     """
     terms = saved(window_terms(windows), "window-terms")
     index = build_index(docs, terms.select("term").distinct())
-    ranked = ranked_terms(terms, index)
-    cands = saved(_starts(index, ranked), "starts")
-    # each posting is asked for at the positions within the slack, so that the join stays on keys
-    asked = _asked(cands, ranked).select("*", F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("shift"))
-    asked = asked.withColumn("pos", F.col("pos") + F.col("shift"))
+    ranked = ranked_terms(terms, index, with_absent=True)
+    needed = F.least(F.lit(min_terms), F.col("length"))
+    seeds = ranked.where(F.col("rank") <= F.col("length") - needed + 1)
+    cands = saved(_starts(index, seeds), "starts")
+
+    def moved(by: int) -> Column:
+        return F.explode(F.sequence(F.col("pos") - by, F.col("pos") + by))
+
+    # A start is within the slack of a seed's, and its terms within the slack of it. Postings are asked for
+    # by position, so that the join stays on keys, and once for all starts that share them.
+    asked = _asked(cands, ranked).drop("start").withColumn("pos", moved(2 * slack)).distinct()
+    found = asked.join(_lists_of(docs, terms, cands), ["content", "term", "pos"], "left_semi")
+    # starts beyond the slack of all seeds have too few terms, by the choice of the seeds
     return (
-        asked.join(_lists_of(docs, terms, cands), ["content", "term", "pos"], "left_semi")
-        .groupBy("content", "window", "start", "length")
+        found.withColumn("pos", moved(slack))
+        .groupBy("content", "window", "length", (F.col("pos") - F.col("offset")).alias("start"))
         .agg(F.count_distinct("offset").alias("n_terms"))
-        .where(F.col("n_terms") >= F.least(F.lit(min_terms), F.col("length")))
+        .where(F.col("n_terms") >= needed)
         .select("content", "window", "start", "n_terms")
     )
 
