@@ -143,3 +143,74 @@ def op10(docs, percent=85):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {d: (len(sets[d]), find(d), find(d) == d) for d in ids}
+
+
+def op11(docs):
+    """Rows in the order of `docs`: (doc_id, keep_id, group_size, kept, text_sha256)."""
+    groups: dict[str, list[tuple]] = {}
+    for row, (d, t) in enumerate(docs):
+        content = "".join(c for c in t or "" if c not in BLANKS)
+        groups.setdefault(content, []).append((-len(t or ""), d is None, d or 0, row))
+    out = []
+    for content, members in groups.items():
+        best = min(members)
+        for m in members:
+            d = docs[m[3]][0]
+            out.append((d, docs[best[3]][0], len(members), m == best, sha(content)))
+    return out
+
+
+def op12(docs, percent=50, spm=80):
+    out = {}
+    for d, t in docs:
+        t = t or ""
+        units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+        n = len(units)
+        h = sha(f"42:{'' if d is None else d}")
+        h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+        a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+        p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        if not t or re.search("<[PSM]>", t) or h3 % 100 >= percent:
+            out[d] = (n, "plain", None, None, t)
+        elif h4 % 100 < spm:
+            out[d] = (n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}")
+        else:
+            out[d] = (n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+    return out
+
+
+def op13(turns):
+    """Nodes by start: turns are (conv_id, turn, role, text)."""
+    own: dict[int, list] = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            own.setdefault(c, []).append((turn is not None, turn or 0, tie, role, text))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        source = c - int(abs(c) % 5) * (1 if c >= 0 else -1)
+        built[c] = own.get(source, [])[:h] + ts[h:]
+    members: dict[tuple, list] = {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+    children: dict[tuple, int] = {}
+    for start in members:
+        if start:
+            children[start[:-1]] = children.get(start[:-1], 0) + 1
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for start, m in members.items():
+        gain = (len(m) - 1) * len(start[-1][1].encode()) if start else 0
+        for d in range(len(start) + 1):
+            leaves[start[:d]] += start not in children
+            saved[start[:d]] += gain
+    out = []
+    for start, m in members.items():
+        ends = sorted(c for c in m if len(built[c]) == len(start))
+        above = min(members[start[:-1]]) if start else None
+        out.append((min(m), len(start), above, len(m), children.get(start, 0), leaves[start], saved[start],
+                    sha(",".join(map(str, ends)))))
+    return out

@@ -12,9 +12,12 @@ from tillroll.llm import (
     bpe_tree,
     chat,
     decontaminate,
+    exact_dedup,
+    fill_in_middle,
     line_dedup,
     near_dup,
     prefix_counts,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sql,
@@ -85,6 +88,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        sha256(F.col("output")).alias("output_sha256"), sha256(text).alias("restored_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # which of several children comes first in the tour is open, so its positions are no part of the result
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("enter_at", "leave_at")
+
+
 def _deployed(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_token_counts, op2_token_store, op3_line_dedup, op4_quality_rules, op5_quality_classifier,
         op6_bpe_tree, op7_suffix_dedup, op8_chat_formatting, op9_decontamination, op10_near_dup,
+        op11_exact_dedup, op12_fill_in_middle, op13_prefix_trie,
     )
     return {f.__name__: _deployed(f) for f in ops}
 

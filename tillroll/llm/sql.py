@@ -105,9 +105,85 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN owners o USING (doc_id)
 """
 
+OP11 = rf"""
+WITH rows AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
+    FROM documents),
+ranked AS (
+    SELECT *, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
+           row_number() OVER best AS rank
+    FROM rows WINDOW best AS (PARTITION BY content ORDER BY n_chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, rank = 1 AS kept, sha256(content) AS text_sha256 FROM ranked
+"""
+
+OP12 = r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+           sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents),
+drawn AS (
+    SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a,
+           ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+           CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50
+                THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM units),
+parts AS (
+    SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix,
+           array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+           array_to_string(u[greatest(a, b) + 1:], '') AS suffix
+    FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+# crc32 of a decimal number: each digit is mixed in and then shifted out bit by bit
+CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({0}) + 1), "
+    "lambda i: [ascii({0}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, x: CASE WHEN x >= 0 "
+    "THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END), 4294967295)"
+).format("(conv_id::VARCHAR)")
+OP13 = f"""
+WITH own AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS t
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+          FROM conversations WHERE conv_id IS NOT NULL)
+    GROUP BY conv_id),
+drawn AS (SELECT conv_id, t, {CRC} % 9 AS h FROM own),
+rebuilt AS (
+    SELECT d.conv_id, list_concat(coalesce(s.t, [])[1:d.h], d.t[d.h + 1:]) AS t
+    FROM drawn d LEFT JOIN own s ON s.conv_id = d.conv_id - d.conv_id % 5),
+starts AS (
+    SELECT conv_id, len(t) AS length, d AS depth, t[1:d] AS start, t[1:d - 1] AS above, strlen(t[d].text) AS n_bytes
+    FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT depth, start, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(any_value(n_bytes), 0) AS n_bytes,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+    FROM starts GROUP BY depth, start),
+children AS (SELECT above AS start, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+inside AS (
+    SELECT n.start[1:d] AS start, count(*) FILTER (c.n IS NULL) AS n_leaves,
+           sum((n.n_convs - 1) * n.n_bytes)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN children c ON n.start = c.start
+    GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       i.n_leaves, i.saved_tokens, n.ends_sha256
+FROM nodes n JOIN inside i USING (start) LEFT JOIN children c USING (start)
+LEFT JOIN nodes p ON n.depth > 0 AND p.start = n.above
+"""
+
 QUERIES = {
     "op3_line_dedup": OP3,
     "op4_quality_rules": OP4,
     "op8_chat_formatting": OP8,
     "op9_decontamination": OP9,
+    "op11_exact_dedup": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_prefix_trie": OP13,
 }
