@@ -1,8 +1,9 @@
 """Chat formatting with typed content parts, in DataFrame operations only.
 
 A message has a list of parts, each with a type, a text, a reference and a number of tokens. The
-visitor goes through the parts in order: a text part gives its escaped text, an image, audio or
-document part gives as many placeholders as it takes tokens and is recorded with its reference.
+visitor goes through the parts in order: a text part gives its text, an image, audio or document part
+gives as many placeholders as it takes tokens and is recorded with its reference. Texts that follow
+each other are escaped together.
 
     <|turn|>role<|says|>text...<|end|>
 
@@ -43,13 +44,33 @@ def text_part(text: Column) -> Column:
     return F.array(part.cast(PART))
 
 
-def _visit(part: Column) -> Column:
-    """What a part becomes in the text of its turn. An unknown type is text."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
+def _marks(part: Column) -> Column:
+    """The placeholders of a part, none if it takes no tokens; null for a text. An unknown type is text."""
+    marks = F.lit(None).cast("string")
     for kind, mark in PLACEHOLDERS.items():
         shown = F.repeat(F.lit(mark), F.greatest(F.coalesce(part["n_tokens"], F.lit(1)), F.lit(0)))
-        out = F.when(part["type"] == kind, shown).otherwise(out)
-    return out
+        marks = F.when(part["type"] == kind, shown).otherwise(marks)
+    return marks
+
+
+def _visit(parts: Column) -> Column:
+    """What the parts become in the text of their turn.
+
+    A run of texts without placeholders between them is escaped as one text, so that parts can't make a
+    control string together. Placeholders neither begin nor end with what such a string could go on with.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+
+    def step(acc: Column, part: Column) -> Column:
+        marks = _marks(part)
+        longer = F.concat(acc["run"], F.coalesce(part["text"], F.lit("")))
+        closed = F.concat(acc["done"], escape(acc["run"]), marks)
+        shown = F.coalesce(marks, F.lit("")) != ""
+        done = F.when(shown, closed).otherwise(acc["done"])
+        run = F.when(shown, F.lit("")).when(marks.isNull(), longer).otherwise(acc["run"])
+        return F.struct(done.alias("done"), run.alias("run"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["done"], escape(acc["run"])))
 
 
 def format_turns(messages: DataFrame) -> DataFrame:
@@ -65,7 +86,7 @@ def format_turns(messages: DataFrame) -> DataFrame:
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     return messages.withColumn("parts", parts).select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform("parts", _visit), "").alias("body"),
+        _visit(F.col("parts")).alias("body"),
         record.alias("attachments"),
     )
 
