@@ -281,14 +281,17 @@ def fallback(
 
 
 def final_candidates(
-    unique: DataFrame, extra: DataFrame, users: DataFrame, limits: Limits = LIMITS
+    unique: DataFrame, extra: DataFrame, users: DataFrame, limits: Limits = LIMITS, checks: bool = False
 ) -> DataFrame:
-    """Proposals and fallback ranked together and cut at each user's quota."""
+    """Proposals and fallback ranked together and cut at each user's quota, which `checks` adds."""
     ranked = rank_candidates(unique.unionByName(extra))
     return (
         ranked.join(user_quota(users, limits), "user_id")
         .where("candidate_rank <= objetivo")
-        .select("user_id", "product_id", "candidate_rank", "score_candidate", "fuentes")
+        .select(
+            "user_id", "product_id", "candidate_rank", "score_candidate", "fuentes",
+            *([F.col("objetivo").alias("_objetivo")] if checks else []),
+        )
     )
 
 

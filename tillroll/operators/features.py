@@ -111,13 +111,14 @@ def labels(targets: DataFrame) -> DataFrame:
     return targets.select("user_id", "product_id").distinct().withColumn("etiqueta", F.lit(1))
 
 
-def target_context(orders: DataFrame) -> DataFrame:
-    """When the target order was placed. Never what was in it."""
+def target_context(orders: DataFrame, checks: bool = False) -> DataFrame:
+    """When the target order was placed. Never what was in it. `checks` adds the number of the order."""
     return orders.where("eval_set = 'train'").select(
         "user_id",
         F.col("days_since_prior_order").alias("dias_hasta_orden_objetivo"),
         F.col("order_dow").cast("tinyint").alias("dow_orden_objetivo"),
         F.col("order_hour_of_day").cast("tinyint").alias("hora_orden_objetivo"),
+        *([F.col("order_number").alias("_orden_objetivo")] if checks else []),
     )
 
 
@@ -140,11 +141,14 @@ def build_features(
     """One row per bought user-item pair of evaluable users: the 25 model columns and the label.
 
     The three user-level tables are joined with each other first, so the pairs are joined with
-    users once. `cadence_` may be left out if `interactions` already holds `cadencia_par`.
+    users once. `cadence_` may be left out if `interactions` already holds `cadencia_par`. If `context`
+    has the number of the target order, it is kept with that of the last history order for the checks.
     """
+    checks = ["_orden_objetivo", "_ultima_orden"] if "_orden_objetivo" in context.columns else []
+    last = [F.col("ultima_order_number").alias("_ultima_orden")] if checks else []
     per_user = (
         split.join(context, "user_id")
-        .join(users.select("user_id", *USER_COLUMNS), "user_id")
+        .join(users.select("user_id", *USER_COLUMNS, *last), "user_id")
     )
     per_item = items.select(
         "product_id",
@@ -187,7 +191,7 @@ def build_features(
         .join(per_item, "product_id")
     )
     return joined.withColumns(derived).select(
-        "user_id", "product_id", "split", "segmento_usuario", *MODEL_COLUMNS, "etiqueta"
+        "user_id", "product_id", "split", "segmento_usuario", *MODEL_COLUMNS, "etiqueta", *checks
     )
 
 

@@ -74,10 +74,22 @@ def cumulative_days(orders: DataFrame) -> DataFrame:
     return order_timeline(orders).select("user_id", "order_id", "order_number", "elapsed_days")
 
 
-def pair_history(prior_lines: DataFrame, timeline: DataFrame) -> DataFrame:
+def _orders_seen() -> dict[str, Column]:
+    """The order numbers below 128 of a pair as bits, and how many lines set them."""
+    number = "order_number BETWEEN {} AND {}"
+    bits = "coalesce(bit_or(CASE WHEN " + number + " THEN shiftleft(1L, order_number - {}) END), 0L)"
+    return {
+        "_n_seen": F.count_if(F.expr(number.format(0, 127))),
+        "_seen_low": F.expr(bits.format(0, 63, 0)),
+        "_seen_high": F.expr(bits.format(64, 127, 64)),
+    }
+
+
+def pair_history(prior_lines: DataFrame, timeline: DataFrame, checks: bool = False) -> DataFrame:
     """One row per user and item with every history aggregate.
 
-    Lines without a prior order keep a NULL user: they still count as purchases of the item.
+    Lines without a prior order keep a NULL user: they still count as purchases of the item. `checks`
+    adds what a check for repeated lines needs.
     """
     lines = prior_lines.join(timeline, "order_id", "left")
     last = F.max_by(
@@ -99,6 +111,7 @@ def pair_history(prior_lines: DataFrame, timeline: DataFrame) -> DataFrame:
             within(5).alias("in_last_5"),
             F.max("from_end").alias("first_from_end"),
             F.max("n_orders").alias("n_orders"),
+            *([c.alias(n) for n, c in _orders_seen().items()] if checks else []),
         )
         .select(
             "*",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import tables, validate
 from tillroll.plans.registry import add
+from tillroll.plans.workspace import Workspace
 from tillroll.sources import raw, store
 
 # sources and sinks ------------------------------------------------------------------------------
@@ -41,6 +42,58 @@ def _orders_from_csv(ws):
     return _csv_round_trip(ws)["orders"]
 
 
+def _from_raw(ws):
+    """A workspace over the CSVs, with everything built anew from them."""
+    if "from_raw" not in ws.made:
+        _csv_round_trip(ws)
+        ws.made["from_raw"] = Workspace.from_raw(
+            ws.spark, ws.made["csv"], folder=ws.store.folder, limits=ws.limits, report_only=ws.report_only
+        )
+    return ws.made["from_raw"]
+
+
+def _built_from_raw(ws):
+    start = _from_raw(ws)
+    built = {
+        "catalogo": start.catalog, "targets_train": start.targets, "productos": start.items,
+        "usuarios": start.users, "interacciones": start.interactions, "features": start.features,
+    }
+    out = None
+    for name, df in built.items():
+        row = df.agg(F.lit(name).alias("tabla"), F.count(F.lit(1)).alias("filas"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _rejected(ws):
+    """Orders in whose line the weekday is no number, and what is left of each table."""
+    if "broken" not in ws.made:
+        folder = ws.store.fresh_path("csv")
+        broken = F.when(F.col("order_id") % 50 == 0, "lunes").otherwise(F.col("order_dow").cast("string"))
+        for name, df in ws.raw.items():
+            given = df.withColumn("order_dow", broken) if name == "orders" else df
+            given.write.option("header", True).csv(f"{folder}/{raw.RAW_FILES[name]}")
+        ws.made["broken"] = Workspace.from_raw(ws.spark, folder, folder=ws.store.folder, max_rejected=1 << 62)
+    return ws.made["broken"].rejected_counts()
+
+
+def _inputs(ws):
+    """The six files, whether they are there, and how many of the columns asked for they lack."""
+    _csv_round_trip(ws)
+    paths = {n: f"{ws.made['csv']}/{f}" for n, f in raw.RAW_FILES.items()}
+    raw.require_inputs(ws.spark, paths.values())
+    lacking = raw.missing_columns({n: raw.header(ws.spark, p) for n, p in paths.items()})
+    rows = [(n, raw.path_exists(ws.spark, p), len(lacking[n])) for n, p in paths.items()]
+    return ws.spark.createDataFrame(rows, "tabla STRING, presente BOOLEAN, columnas_que_faltan INT")
+
+
+def _observed(ws):
+    """What was counted while the tables were written. A hash of rows says nothing to SQL."""
+    for name in ("catalog", "targets", "items", "users", "interactions", "features", "two_block", "candidates"):
+        getattr(ws, name)
+    return ws.checks().where("control <> 'huella'")
+
+
 def _from_views(ws):
     raw.register_views({f"tillroll_{n}": df for n, df in ws.raw.items()})
     return ws.spark.sql(
@@ -75,6 +128,24 @@ add("s1_read_raw", _counts_from_csv, _RAW_COUNTS)
 add(
     "s1_raw_orders", _orders_from_csv, "SELECT * FROM x_orders", "days_since_prior_order"
 )
+add("s1_from_raw", _built_from_raw, """
+    SELECT 'catalogo' AS tabla, count(*) AS filas FROM x_catalogo
+    UNION ALL SELECT 'targets_train', count(*) FROM x_targets
+    UNION ALL SELECT 'productos', count(*) FROM x_productos
+    UNION ALL SELECT 'usuarios', count(*) FROM x_usuarios
+    UNION ALL SELECT 'interacciones', count(*) FROM x_inter
+    UNION ALL SELECT 'features', count(*) FROM x_features""")
+add(
+    "s1_interactions_from_raw", lambda ws: _from_raw(ws).interactions, "SELECT * FROM x_inter",
+    "add_to_cart_order_promedio",
+)
+add("s1_rejected_lines", _rejected, f"""
+    SELECT tabla, filas - bad AS aceptadas, bad AS rechazadas FROM (
+      SELECT tabla, filas, CASE WHEN tabla = 'orders'
+        THEN (SELECT count(*) FROM x_orders WHERE order_id % 50 = 0) ELSE 0 END AS bad
+      FROM ({_RAW_COUNTS}))""")
+add("s2_require_inputs", _inputs, f"""
+    SELECT tabla, filas >= 0 AS presente, CAST(0 AS INTEGER) AS columnas_que_faltan FROM ({_RAW_COUNTS})""")
 add(
     "s3_register_views",
     _from_views,
@@ -267,6 +338,81 @@ add(
            AS usuarios_con_ciclo_nulo
        FROM x_features""",
 )
+def _observed_sql(rows: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name.split('.')[0]}' AS tabla, '{name.split('.')[1]}' AS control, "
+        f"CAST({built} AS BIGINT) AS construido, CAST({source} AS BIGINT) AS origen"
+        for name, (built, source) in rows.items()
+    )
+
+
+def _where(table: str, cond: str) -> tuple[str, str]:
+    return f"(SELECT count(*) FROM {table} WHERE {cond})", "0"
+
+
+_COUNT = "(SELECT count(*) FROM {})".format
+_BUYS = "(SELECT count(*) FROM x_prior)"
+add(
+    "v6_observed_checks",
+    _observed,
+    _observed_sql({
+        "orders.claves_nulas": _where("x_orders", "order_id IS NULL OR user_id IS NULL"),
+        "orders.eval_set_invalido": _where("x_orders", "coalesce(eval_set NOT IN ('prior', 'train', 'test'), true)"),
+        "orders.order_number_invalido": _where("x_orders", "coalesce(order_number < 1, true)"),
+        "orders.order_number_fuera": _where("x_orders", "coalesce(order_number NOT BETWEEN 1 AND 100, true)"),
+        "orders.order_dow_invalido": _where("x_orders", "coalesce(order_dow NOT BETWEEN 0 AND 6, true)"),
+        "orders.hora_invalida": _where(
+            "x_orders", "coalesce(TRY_CAST(order_hour_of_day AS INTEGER) NOT BETWEEN 0 AND 23, true)"),
+        "orders.dias_invalidos": _where("x_orders", "days_since_prior_order NOT BETWEEN 0 AND 30"),
+        "order_products.claves_nulas": _where("x_prior", "order_id IS NULL OR product_id IS NULL"),
+        "order_products.posicion_invalida": _where("x_prior", "coalesce(add_to_cart_order < 1, true)"),
+        "order_products.reordered_invalido": _where("x_prior", "coalesce(reordered NOT IN (0, 1), true)"),
+        "catalogo.productos": (_COUNT("x_catalogo"), _COUNT("x_products")),
+        "targets_train.lineas": (_COUNT("x_targets"), _COUNT("x_train")),
+        "targets_train.claves_nulas": _where("x_targets", "user_id IS NULL OR product_id IS NULL"),
+        "order_timeline.primeras": (
+            "(SELECT count(DISTINCT user_id) FROM x_orders WHERE eval_set = 'prior')",
+            "(SELECT count(*) FROM x_orders WHERE eval_set = 'prior' AND days_since_prior_order IS NULL)"),
+        "pair_history.lineas": (_BUYS, _BUYS),
+        "pair_history.sin_pedido": _where(
+            "x_prior", "order_id NOT IN (SELECT order_id FROM x_orders WHERE eval_set = 'prior')"),
+        "pair_history.repetidas": (
+            "(SELECT count(*) - count(DISTINCT (order_id, product_id)) FROM x_prior)", "0"),
+        "productos.catalogo": (_COUNT("x_productos"), _COUNT("x_catalogo")),
+        "productos.compras": ("(SELECT sum(cantidad_compras) FROM x_productos)", _BUYS),
+        "usuarios.usuarios": (
+            _COUNT("x_usuarios"), "(SELECT count(DISTINCT user_id) FROM x_orders WHERE eval_set = 'prior')"),
+        "usuarios.compras": ("(SELECT sum(cantidad_compras) FROM x_usuarios)", _BUYS),
+        "usuarios.sin_primera_orden": _where("x_usuarios", "tiene_primera_orden <> 1"),
+        "usuarios.mediana_negativa": _where("x_usuarios", "mediana_dias_entre_ordenes_historicas < 0"),
+        "usuarios.mediana_inconsistente": _where(
+            "x_usuarios",
+            "(cantidad_ordenes_historicas = 1) <> (mediana_dias_entre_ordenes_historicas IS NULL)"),
+        "interacciones.pares": (
+            _COUNT("x_inter"),
+            "(SELECT count(DISTINCT (o.user_id, p.product_id)) FROM x_prior p JOIN x_orders o USING (order_id))"),
+        "interacciones.compras": ("(SELECT sum(freq_usuario_producto) FROM x_inter)", _BUYS),
+        "interacciones.recencia_negativa": _where("x_inter", "recencia_usuario_producto < 0"),
+        "interacciones.dias_negativos": _where("x_inter", "dias_registrados_desde_ultima_compra < 0"),
+        "interacciones.ultima_orden_con_dias": _where(
+            "x_inter", "recencia_usuario_producto = 0 AND dias_registrados_desde_ultima_compra <> 0"),
+        "particion.sin_lado": _where("x_split", "coalesce(split NOT IN ('train', 'valid'), true)"),
+        "features.sin_etiqueta": _where("x_features", "etiqueta IS NULL"),
+        "features.nulos_ratio": _where("x_features", "ratio_usuario_producto IS NULL"),
+        "features.nulos_posicion": _where("x_features", "posicion_relativa IS NULL"),
+        "features.fuga": (
+            """(SELECT count(*) FROM x_features f JOIN x_usuarios u USING (user_id)
+                JOIN x_orders o ON o.user_id = f.user_id AND o.eval_set = 'train'
+                WHERE o.order_number <= u.ultima_order_number)""", "0"),
+        "dos_bloques.principal": (
+            "(SELECT count(*) FROM x_blocks WHERE bloque = 'principal')", _COUNT("x_top10")),
+        "candidatos_nuevos.nulos_o_rank": _where(
+            "x_candidates", "user_id IS NULL OR product_id IS NULL OR score_candidate IS NULL OR candidate_rank < 1"),
+        "candidatos_nuevos.completos": (
+            """(SELECT count(*) FROM (SELECT user_id, count(*) AS n FROM x_candidates GROUP BY 1)
+                JOIN x_quota USING (user_id) WHERE n >= objetivo)""", _COUNT("x_usuarios")),
+    }),
+)
 add(
     "v12_split_users",
     lambda ws: validate.split_users(ws.split),

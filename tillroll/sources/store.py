@@ -8,8 +8,9 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillroll.sources.raw import path_exists, require_inputs
 
@@ -24,19 +25,29 @@ def write_table(
     path: str,
     order_by: Sequence[str] | None = None,
     partition_by: Sequence[str] = (),
-) -> None:
+    counts: Sequence[Column] = (),
+    hidden: Sequence[str] = (),
+) -> dict[str, int]:
     """Write Parquet with ZSTD.
 
+    `counts` are aggregates over the rows as they are written, returned by name: the tasks that write
+    the files take them, so they cost no scan of their own. `hidden` columns are only counted.
+
     `order_by` range-partitions and sorts, so the file order says nothing about any other column.
     A range over (user, item) also cuts one very large user into several files.
     """
     if order_by:
         keys = [*partition_by, *order_by]
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    observed = Observation() if counts else None
+    if observed:
+        df = df.observe(observed, *counts)
+    df = df.drop(*hidden)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return observed.get if observed else {}
 
 
 def publish_atomic(
@@ -133,13 +144,27 @@ class Store:
     Reading back cuts the lineage and gives later jobs column pruning, pushed filters and real
     statistics, and a lost executor costs only the tasks it ran. `drop` removes the tables; it is also
     called when the driver's Python ends with the session still open.
+
+    `counts` gives what to count of a table, by its name and columns, while it is written. `require` gets
+    the counts of all tables so far and raises if they are wrong; then the table is never seen and its
+    files are deleted. Columns whose names begin with _ are counted and not written, unless they are
+    partitions.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str | None = None,
+        counts: Callable[[str, Sequence[str]], dict[str, Column]] = lambda name, columns: {},
+        require: Callable[[str, dict[str, dict[str, int]]], None] = lambda name, observed: None,
+    ):
         self.spark = spark
+        self.counts, self.require = counts, require
+        self.observed: dict[str, dict[str, int]] = {}
         base = folder or work_folder(spark)
         self.folder = os.path.join(base, f"tables-{uuid.uuid4().hex[:12]}")
         self._tables: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
         atexit.register(self._drop_at_exit)
 
     def fresh_path(self, name: str) -> str:
@@ -161,19 +186,40 @@ class Store:
         partition_by: Sequence[str] = (),
     ) -> DataFrame:
         if name not in self._tables:
-            path = f"{self.folder}/{name}"
-            write_table(build(), path, order_by, partition_by)
-            self._tables[name] = self.spark.read.parquet(path)
+            path, df = self.fresh_path(name), build()
+            hidden = [c for c in df.columns if c.startswith("_") and c not in partition_by]
+            wanted = list(self.counts(name, df.columns).values())
+            try:
+                seen = write_table(df, path, order_by, partition_by, wanted, hidden)
+                self.require(name, {**self.observed, name: seen})
+            except BaseException:
+                self._delete(path)
+                raise
+            self.observed[name], self._paths[name] = seen, path
+            # with its schema given, a table without rows can be read too, though it may have no files
+            fields = [f for f in df.schema if f.name not in hidden]
+            fields.sort(key=lambda f: f.name in partition_by)
+            self._tables[name] = self.spark.read.schema(StructType(fields)).parquet(path)
         return self._tables[name]
 
+    def forget(self, name: str) -> None:
+        """Take a table back."""
+        self._delete(self._paths.pop(name))
+        del self._tables[name], self.observed[name]
+
     def path(self, name: str, build: Callable[[], object]) -> str:
         """Where a table lies, after building it if it is not there yet."""
         if name not in self._tables:
             build()
-        return f"{self.folder}/{name}"
+        return self._paths[name]
 
     def drop(self) -> None:
         """Delete the tables of this run."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.folder)
         self._tables.clear()
+        self._paths.clear()
+        self.observed.clear()
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
