@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tillroll.operators import rankers, tables
+from tillroll.operators import metrics, rankers, tables
 from tillroll.plans.registry import REGISTRY
 from tillroll.plans.workspace import workspace
 
@@ -55,3 +55,19 @@ def test_scalars_are_subqueries(spark):
     ws = workspace(spark, SF_DIR)
     assert "Subquery" in plan(rankers.popularity_topk(ws.items, ws.valid_users))
     assert ws.items.agg(F.count("*")).count() == 1
+
+
+def scans(df):
+    """File scans of the plan before stages are reused, so a table read twice counts twice."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
+
+
+def test_a_ranking_is_scored_in_one_pass(spark):
+    ws = workspace(spark, SF_DIR)
+    inputs = {"recs": ws.ranking, "truth": ws.truth, "history": ws.history, "segments": ws.segments}
+    named = ws.ranking.withColumn("modelo", F.lit("m"))
+    cuts = [metrics.Cut(f"top{k}", "m", k) for k in (1, 5, 10)]
+    scored = metrics.score(named, ws.truth, cuts, ws.segments, ws.history, catalog_size=100)
+    assert scans(scored) == sum(scans(df) for df in inputs.values())
+    systems = {"a": ws.ranking, "b": ws.top10, "c": ws.ranking.where("rank > 2")}
+    assert scans(metrics.compare(systems, ws.truth, catalog_size=100)) == 3 * scans(ws.ranking) + scans(ws.truth)

@@ -2,7 +2,8 @@
 
 Recommendations are long frames (modelo, user_id, product_id, rank); truth and history are
 (user_id, product_id). The three are stacked and aggregated once by (user, item), so a pair meets
-its truth and history flags without three joins and a very large user is spread over its items.
+its truth and history flags without three joins and a very large user is spread over its items. User
+metrics and catalogue coverage both come from that aggregate, so a ranking is computed once.
 The truth decides which users count.
 """
 
@@ -30,6 +31,7 @@ NOVELTY_COLUMNS = (
     "n_con_novedad_ofrecida", "n_con_objetivo_nuevo", "aciertos_nuevos_totales",
     "objetivos_nuevos_totales",
 )
+SHOWN = ("hits", "shown", "new_shown", "new_hits")
 
 
 @dataclass(frozen=True)
@@ -88,12 +90,11 @@ def pair_marks(
     )
 
 
-def per_user(
-    recs: DataFrame, truth: DataFrame, cuts: Sequence[Cut], history: DataFrame | None = None
-) -> DataFrame:
-    """Hits, list length and novelty counts of every user of the truth, one row per cut."""
-    models = list(dict.fromkeys(c.modelo for c in cuts))
-    pairs = pair_marks(recs, truth, cuts, history)
+def _user_counts(pairs: DataFrame, cuts: Sequence[Cut], models: Sequence[str], lists: bool) -> DataFrame:
+    """One row per user of the truth: what each cut shows and hits, and with `lists` what was shown.
+
+    A list holds at most the longest cut of every model, so it is bounded for a hot user as well.
+    """
     real = (F.col("real") == 1) & F.col("product_id").isNotNull()
     new = F.col("known") == 0
     count = lambda cond: F.count(F.when(cond, 1))
@@ -110,16 +111,26 @@ def per_user(
             count(shown & new).alias(f"new_shown_{i}"),
             count(shown & new & real).alias(f"new_hits_{i}"),
         ]
-    users = pairs.groupBy("user_id").agg(*aggs).where("in_truth = 1")
+    if lists:
+        marks = F.array(*[F.col(_mark(m)) for m in range(len(models))])
+        some = F.coalesce(*[F.col(_mark(m)) for m in range(len(models))]).isNotNull()
+        item = F.struct(F.col("product_id").alias("product_id"), marks.alias("ranks"))
+        aggs.append(F.collect_list(F.when(some, item)).alias("items"))
+    return pairs.groupBy("user_id").agg(*aggs).where("in_truth = 1")
+
+
+def per_user(
+    recs: DataFrame, truth: DataFrame, cuts: Sequence[Cut], history: DataFrame | None = None
+) -> DataFrame:
+    """Hits, list length and novelty counts of every user of the truth, one row per cut."""
+    models = list(dict.fromkeys(c.modelo for c in cuts))
+    users = _user_counts(pair_marks(recs, truth, cuts, history), cuts, models, lists=False)
     per_cut = F.array(
         *[
             F.struct(
                 F.lit(c.label).alias("modelo"),
                 F.lit(c.k).alias("k"),
-                *[
-                    F.col(f"{name}_{i}").alias(name)
-                    for name in ("hits", "shown", "new_shown", "new_hits")
-                ],
+                *[F.col(f"{name}_{i}").alias(name) for name in SHOWN],
             )
             for i, c in enumerate(cuts)
         ]
@@ -129,44 +140,98 @@ def per_user(
     ).select("user_id", "targets", "new_targets", "c.*")
 
 
-def coverage(
-    recs: DataFrame, truth: DataFrame, cuts: Sequence[Cut], segments: DataFrame | None
+def _sums() -> dict[str, Column]:
+    """What is added up over users, from the columns of one user and cut."""
+    flag = lambda cond: cond.cast("long")
+    return {
+        "n_usuarios": F.lit(1).cast("long"),
+        "aciertos_totales": F.col("hits"),
+        "objetivos_totales": F.col("targets"),
+        "sum_recall": safe_ratio(F.col("hits"), F.col("targets")),
+        "n_hit": flag(F.col("hits") > 0),
+        "n_full": flag(F.col("shown") >= F.col("k")),
+        "sin_recomendaciones": flag(F.col("shown") == 0),
+        "sin_segmento": F.col("no_segment"),
+        "n_empty": flag(F.col("targets") == 0),
+        "sum_new_shown": F.col("new_shown"),
+        "sum_new_precision": safe_ratio(F.col("new_hits"), F.col("new_shown")),
+        "sum_new_recall": safe_ratio(F.col("new_hits"), F.col("new_targets")),
+        "n_con_novedad_ofrecida": flag(F.col("new_shown") > 0),
+        "n_con_objetivo_nuevo": flag(F.col("new_targets") > 0),
+        "n_new_hit": flag(F.col("new_hits") > 0),
+        "aciertos_nuevos_totales": F.col("new_hits"),
+        "objetivos_nuevos_totales": F.col("new_targets"),
+    }
+
+
+def totals_and_items(
+    recs: DataFrame,
+    truth: DataFrame,
+    cuts: Sequence[Cut],
+    segments: DataFrame | None,
+    history: DataFrame | None,
 ) -> DataFrame:
-    """Distinct items shown to the users of the truth, in all and per segment.
+    """Sums over users and distinct items shown, by cut and group, from one pass over the rankings.
 
-    Items are reduced to their best rank per list, so every cut is read off one aggregate.
+    Each user gives one row per cut and one per item and model. Both kinds go through one aggregate, by
+    (group, cut) and by (group, model, item): the sums are partly added up before its shuffle, and an
+    item is left with its best rank. Only then is an item counted in every cut that reaches that rank.
     """
     models = list(dict.fromkeys(c.modelo for c in cuts))
-    users = truth.select("user_id").distinct()
+    users = _user_counts(pair_marks(recs, truth, cuts, history), cuts, models, lists=True)
     if segments is not None:
-        users = users.join(segments, "user_id", "left")
+        users = users.join(segments.select("user_id", "segmento"), "user_id", "left")
         groups = F.array_compact(F.array(F.lit(ALL), F.col("segmento")))
+        no_segment = F.col("segmento").isNull().cast("long")
     else:
         groups = F.array(F.lit(ALL))
-    best = (
-        recs.join(users, "user_id")
-        .select("modelo", "product_id", "rank", F.explode(groups).alias("segmento"))
-        .groupBy("segmento", "product_id")
-        .agg(
-            *[
-                F.min(F.when(F.col("modelo") == m, F.col("rank"))).alias(_mark(i))
-                for i, m in enumerate(models)
-            ]
+        no_segment = F.lit(0).cast("long")
+
+    row = "struct<cut:int,k:int,model:int,product_id:int,best:bigint," + ",".join(f"{c}:bigint" for c in SHOWN) + ">"
+    none = F.lit(None)
+    per_cut = [
+        F.struct(F.lit(i), F.lit(c.k), none, none, none, *[F.col(f"{name}_{i}") for name in SHOWN]).cast(row)
+        for i, c in enumerate(cuts)
+    ]
+    ranked = F.flatten(
+        F.transform(
+            "items",
+            lambda item: F.transform(
+                item["ranks"],
+                lambda rank, model: F.struct(none, none, model, item["product_id"], rank, *[none for _ in SHOWN]),
+            ),
         )
     )
-    shown = best.groupBy("segmento").agg(
-        *[
-            F.count(F.when(F.col(_mark(models.index(c.modelo))) <= c.k, 1)).alias(f"items_{i}")
-            for i, c in enumerate(cuts)
-        ]
+    per_item = F.filter(ranked.cast(f"array<{row}>"), lambda x: x["best"].isNotNull())
+    rows = users.select(
+        "targets", "new_targets", no_segment.alias("no_segment"), F.explode(groups).alias("grupo"),
+        F.concat(F.array(*per_cut), per_item).alias("rows"),
     )
-    stacked = F.array(
-        *[
-            F.struct(F.lit(c.label).alias("modelo"), F.col(f"items_{i}").alias("items"))
-            for i, c in enumerate(cuts)
-        ]
+    rows = rows.select("targets", "new_targets", "no_segment", "grupo", F.explode("rows").alias("r"))
+    rows = rows.select("targets", "new_targets", "no_segment", "grupo", "r.*")
+    of_cut = F.col("cut").isNotNull()
+    sums = _sums()
+    reduced = rows.groupBy("grupo", "cut", "model", "product_id").agg(
+        F.min("best").alias("best"), *[F.sum(F.when(of_cut, c)).alias(n) for n, c in sums.items()]
     )
-    return shown.select("segmento", F.explode(stacked).alias("c")).select("segmento", "c.*")
+    reached = [
+        F.when((F.col("model") == models.index(c.modelo)) & (F.col("best") <= c.k), F.lit(i))
+        for i, c in enumerate(cuts)
+    ]
+    spread = F.when(of_cut, F.array("cut")).otherwise(F.array_compact(F.array(*reached)))
+    counted = reduced.select(
+        "grupo", F.explode(spread).alias("cut"), F.when(~of_cut, 1).alias("item"), *sums
+    )
+    # a row of zeros per cut keeps the total row even when the truth is empty
+    zeros = recs.sparkSession.range(len(cuts)).select(
+        F.lit(ALL).alias("grupo"), F.col("id").cast("int").alias("cut"), none.cast("int").alias("item"),
+        *[F.lit(0).cast("double" if n.startswith("sum_new_p") or n.endswith("recall") else "long").alias(n) for n in sums],
+    )
+    out = counted.unionByName(zeros).groupBy("grupo", "cut").agg(
+        F.count("item").alias("items"), *[F.sum(n).alias(n) for n in sums]
+    )
+    named = F.array(*[F.struct(F.lit(c.label).alias("modelo"), F.lit(c.k).alias("k")) for c in cuts])
+    return out.select(F.element_at(named, F.col("cut") + 1).alias("c"), "*").select("c.*", "*").drop("c", "cut")
 
 
 def score(
@@ -185,63 +250,8 @@ def score(
     """
     if not cuts:
         raise ValueError("no systems to score")
-    users = per_user(recs, truth, cuts, history)
-    if segments is not None:
-        users = users.join(segments.select("user_id", "segmento"), "user_id", "left")
-        groups = F.array_compact(F.array(F.lit(ALL), F.col("segmento")))
-        no_segment = F.col("segmento").isNull().cast("long")
-    else:
-        groups = F.array(F.lit(ALL))
-        no_segment = F.lit(0).cast("long")
-    user_rows = users.select(
-        "modelo", "k", "targets", "new_targets", "hits", "shown", "new_shown", "new_hits",
-        F.lit(1).alias("one"),
-        no_segment.alias("no_segment"),
-        F.explode(groups).alias("grupo"),
-    )
-    # a row of zeros per cut keeps the total row even when the truth is empty
-    spark = recs.sparkSession
-    zeros = spark.range(1).select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c.label).alias("modelo"), F.lit(c.k).alias("k")) for c in cuts])
-        ).alias("c")
-    ).select(
-        "c.modelo",
-        "c.k",
-        *[
-            F.lit(0).cast("long").alias(x)
-            for x in ("targets", "new_targets", "hits", "shown", "new_shown", "new_hits")
-        ],
-        F.lit(0).alias("one"),
-        F.lit(0).cast("long").alias("no_segment"),
-        F.lit(ALL).alias("grupo"),
-    )
-    is_user = F.col("one") == 1
-    count = lambda cond: F.count(F.when(is_user & cond, 1))
+    totals = totals_and_items(recs, truth, cuts, segments, history)
     mean = lambda x, n: F.coalesce(safe_ratio(x, n), F.lit(0.0))
-    totals = (
-        user_rows.unionByName(zeros)
-        .groupBy("modelo", "grupo", "k")
-        .agg(
-            F.sum("one").alias("n_usuarios"),
-            F.sum("hits").alias("aciertos_totales"),
-            F.sum("targets").alias("objetivos_totales"),
-            F.sum(safe_ratio(F.col("hits"), F.col("targets"))).alias("sum_recall"),
-            count(F.col("hits") > 0).alias("n_hit"),
-            count(F.col("shown") >= F.col("k")).alias("n_full"),
-            count(F.col("shown") == 0).alias("sin_recomendaciones"),
-            F.sum("no_segment").alias("sin_segmento"),
-            count(F.col("targets") == 0).alias("n_empty"),
-            F.sum("new_shown").alias("sum_new_shown"),
-            F.sum(safe_ratio(F.col("new_hits"), F.col("new_shown"))).alias("sum_new_precision"),
-            F.sum(safe_ratio(F.col("new_hits"), F.col("new_targets"))).alias("sum_new_recall"),
-            count(F.col("new_shown") > 0).alias("n_con_novedad_ofrecida"),
-            count(F.col("new_targets") > 0).alias("n_con_objetivo_nuevo"),
-            count(F.col("new_hits") > 0).alias("n_new_hit"),
-            F.sum("new_hits").alias("aciertos_nuevos_totales"),
-            F.sum("new_targets").alias("objetivos_nuevos_totales"),
-        )
-    )
     totals = totals.where(
         F.when(
             F.col("n_empty") > 0,
@@ -263,12 +273,10 @@ def score(
                 ).cast("boolean"),
             ).otherwise(F.lit(True))
         )
-    items = coverage(recs, truth, cuts, segments).withColumnRenamed("segmento", "grupo")
     n = F.col("n_usuarios")
     size = F.lit(catalog_size) if isinstance(catalog_size, int) else catalog_size
     out = (
-        totals.join(items, ["modelo", "grupo"], "left")
-        .withColumns(
+        totals.withColumns(
             {
                 "precision": mean(F.col("aciertos_totales"), n * F.col("k")),
                 "recall": mean(F.col("sum_recall"), n),
