@@ -1,6 +1,8 @@
 """Readers, writers, the shared folder and saved parameters."""
 
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -87,59 +89,121 @@ def test_sorted_and_partitioned_write(spark, tmp_path):
         assert keys == sorted(keys)
 
 
+def numbers(spark, path):
+    return sorted(r["id"] for r in store.read_table(spark, path).collect())
+
+
 def test_a_failed_check_publishes_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     store.publish_atomic(spark.range(3), path)
 
     def refuse(df):
+        assert df.count() == 9
         raise ValueError("bad table")
 
     with pytest.raises(ValueError, match="bad table"):
         store.publish_atomic(spark.range(9), path, refuse)
-    assert spark.read.parquet(path).count() == 3
+    assert numbers(spark, path) == [0, 1, 2]
     assert store.publish_atomic(spark.range(5), path).count() == 5
-    assert os.listdir(tmp_path) == ["t"]
+    assert os.listdir(tmp_path) == ["t"] and len(os.listdir(path)) == 3
 
 
-class FailingMoves:
-    """A file system of names whose n-th move fails."""
+def test_old_versions_are_removed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(1, 6):
+        store.publish_atomic(spark.range(n), path, keep=2)
+        assert len(numbers(spark, path)) == n
+    assert len([d for d in os.listdir(path) if d.startswith("v-")]) == 2
+    assert store.publish_atomic(spark.range(0), path).count() == 0
 
-    def __init__(self, names, fails):
-        self.names, self.fails, self.moves = dict(names), fails, 0
 
-    def exists(self, name):
-        return name in self.names
+@pytest.mark.parametrize("step", ["write", "point", "half a pointer", "prune"])
+def test_a_writer_lost_at_any_step_leaves_a_whole_table(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    store.publish_atomic(spark.range(3), path)
+
+    def lost(*args, **how):
+        raise KeyboardInterrupt
+
+    if step == "half a pointer":
+        def half(self, name):
+            stream = self.fs.create(self._pointer(2), False)
+            stream.write(bytearray(name[:5].encode()))
+            stream.close()
+            raise KeyboardInterrupt
+
+        monkeypatch.setattr(store.Versions, "point_to", half)
+    elif step == "write":
+        monkeypatch.setattr(store, "write_table", lost)
+    else:
+        monkeypatch.setattr(store.Versions, "point_to" if step == "point" else "prune", lost)
+    with pytest.raises(KeyboardInterrupt):
+        store.publish_atomic(spark.range(9), path)
+    monkeypatch.undo()
+    assert len(numbers(spark, path)) == (9 if step == "prune" else 3)
+    store.publish_atomic(spark.range(4), path)
+    assert len(numbers(spark, path)) == 4
+
+
+def test_two_writers_with_one_number(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.publish_atomic(spark.range(3), path)
+    one, other = store.Versions(spark, path), store.Versions(spark, path)
+    for n, versions in ((5, one), (6, other)):
+        store.write_table(spark.range(n), f"{path}/v-{n}")
+        monkey = [1] if versions is other else None
+        if monkey:  # the second one saw the numbers before the first one had its own
+            versions._numbers = lambda: monkey
+        versions.point_to(f"v-{n}")
+    assert len(numbers(spark, path)) == 6
 
-    def rename(self, a, b):
-        self.moves += 1
-        if self.moves in self.fails or b in self.names:
-            return False
-        self.names[b] = self.names.pop(a)
-        return True
 
-    def delete(self, name, _):
-        self.names.pop(name, None)
+def test_readers_never_miss_a_table_that_is_being_published(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.publish_atomic(spark.range(10), path)
+    done, seen = threading.Event(), []
 
+    def read():
+        while not done.is_set():
+            seen.append(numbers(spark, path))
 
-@pytest.mark.parametrize("fails", [{1}, {2}])
-def test_a_failed_move_keeps_the_old_table(fails):
-    fs = FailingMoves({"t": "old", "t.new": "new"}, fails)
-    with pytest.raises(OSError):
-        store.replace_folder(fs, "t.new", "t", "t.old")
-    assert fs.names == {"t": "old", "t.new": "new"}
+    with ThreadPoolExecutor(2) as pool:
+        readers = [pool.submit(read) for _ in range(2)]
+        for n in range(11, 19):
+            store.publish_atomic(spark.range(n), path, keep=4)
+        done.set()
+        for r in readers:
+            r.result()
+    assert len(seen) > 4 and all(x == list(range(len(x))) and len(x) >= 10 for x in seen)
 
 
-def test_a_table_that_cannot_be_moved_back_is_named():
-    fs = FailingMoves({"t": "old", "t.new": "new"}, {2, 3})
-    with pytest.raises(OSError, match="t.old"):
-        store.replace_folder(fs, "t.new", "t", "t.old")
-    assert fs.names["t.old"] == "old"
+def rows_read(df):
+    """Rows of the row groups that a query's scans read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
 
 
-def test_moves_leave_only_the_new_table():
-    fs = FailingMoves({"t": "old", "t.new": "new"}, set())
-    store.replace_folder(fs, "t.new", "t", "t.old")
-    assert fs.names == {"t": "new"}
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "t")
+    # ids that are multiples of 7 in no order, so that least and greatest say nothing
+    df = spark.range(60_000).selectExpr("pmod(hash(id), 20000) * 7 AS user_id", "id AS product_id").repartition(4)
+    how = {"lookup": {"user_id": 2000}, "row_group_bytes": 16_384}
+    for n in (1, 2):  # as published first, and after an update
+        store.publish_atomic(df.where(f"product_id % {n} = 0"), path, **how)
+        total = store.read_table(spark, path).count()
+        there = df.where(f"product_id % {n} = 0 AND user_id = 7007").collect()
+        found = store.read_table(spark, path).where("user_id = 7007")
+        assert sorted(found.collect()) == sorted(there)
+        assert rows_read(found) < total / 2
+        assert rows_read(store.read_table(spark, path).where("user_id = 7008")) < total / 10
+    without = str(tmp_path / "u")
+    store.publish_atomic(df, without, row_group_bytes=16_384)
+    assert rows_read(store.read_table(spark, without).where("user_id = 7008")) > 50_000
+    store.publish_atomic(df, path, order_by=["user_id"], **how)
+    assert rows_read(store.read_table(spark, path).where("user_id = 7007")) < 60_000 / 5
 
 
 def test_parameters_keep_their_origin(spark, tmp_path):

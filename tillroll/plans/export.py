@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import top_per_group
 from tillroll.operators.metrics import ALL
 from tillroll.operators.recommend import POLICY, slots
+from tillroll.sources.store import publish_atomic
 
 # Name, format and explanation of the headline numbers.
 KPIS = (
@@ -85,6 +86,17 @@ def export_kpis_by_segment(block_one: DataFrame, block_two: DataFrame) -> DataFr
     )
 
 
+USERS_PER_ROW_GROUP = 100_000
+
+
+def publish_lookup(exported: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """The export as a table for lookups of single users: sorted by user, with a bloom filter per row group."""
+    return publish_atomic(
+        exported, path, keep=keep, order_by=["user_id", "bloque", "posicion"],
+        lookup={"user_id": USERS_PER_ROW_GROUP},
+    )
+
+
 def lookup_recommendations(exported: DataFrame, user_id: int | Column) -> DataFrame:
     """One user's rows: suggestions first, then the main block, by position."""
     return exported.where(F.col("user_id") == user_id).orderBy(F.desc("bloque"), "posicion").select(

@@ -344,6 +344,14 @@ def _exported(ws):
     )
 
 
+def _served(ws):
+    """The export as it is published for lookups."""
+    if "lookup" not in ws.made:
+        ws.made["lookup"] = ws.store.fresh_path("consulta")
+        export.publish_lookup(_exported(ws), ws.made["lookup"])
+    return store.read_table(ws.spark, ws.made["lookup"])
+
+
 add("s11_export_recommendations", _exported, _EXPORT)
 
 
@@ -392,7 +400,7 @@ add(
 add(
     "s13_lookup_recommendations",
     lambda ws: export.lookup_recommendations(
-        _exported(ws), ws.valid_users.agg(F.min("user_id")).scalar()
+        _served(ws), ws.valid_users.agg(F.min("user_id")).scalar()
     ),
     f"""SELECT segmento, bloque, posicion, product_id, product_name, aisle, acerto
         FROM ({_EXPORT}) WHERE user_id = (SELECT min(user_id) FROM x_valid)""",

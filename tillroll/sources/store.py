@@ -8,6 +8,7 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,7 +17,9 @@ from tillroll.sources.raw import path_exists, require_inputs
 
 
 def read_table(spark: SparkSession, path: str, cols: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """A written table, or the newest version of a published one."""
+    versions = Versions(spark, path)
+    df = spark.read.parquet(versions.current() if versions.exist() else path)
     return df.select(*cols) if cols else df
 
 
@@ -27,12 +30,17 @@ def write_table(
     partition_by: Sequence[str] = (),
     counts: Sequence[Column] = (),
     hidden: Sequence[str] = (),
+    lookup: dict[str, int] | None = None,
+    row_group_bytes: int | None = None,
 ) -> dict[str, int]:
     """Write Parquet with ZSTD.
 
     `counts` are aggregates over the rows as they are written, returned by name: the tasks that write
     the files take them, so they cost no scan of their own. `hidden` columns are only counted.
 
+    `lookup` names columns that single values are looked up by, with how many different values a row
+    group may have: each row group gets a bloom filter, so that others are not read.
+
     `order_by` range-partitions and sorts, so the file order says nothing about any other column.
     A range over (user, item) also cuts one very large user into several files.
     """
@@ -46,50 +54,111 @@ def write_table(
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    for column, distinct in (lookup or {}).items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True).option(
+            f"parquet.bloom.filter.expected.ndv#{column}", distinct
+        )
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)
     return observed.get if observed else {}
 
 
+class Versions:
+    """The versions of a published table and which of them readers get.
+
+    Each version is a folder of its own beside the others, and `_versions` has one small file per
+    publication, numbered upwards, with the name of its folder. Readers take the highest number whose
+    file is whole and whose folder is there. Nothing is renamed or written over, so the table is never
+    absent, on stores without a rename as well; a file is created only if its number is free, so of two
+    writers at once both are published, one after the other.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.pointers = self._at(f"{self.path}/_versions")
+        self.fs = self.pointers.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def exist(self) -> bool:
+        return self.fs.exists(self.pointers)
+
+    def _numbers(self) -> list[int]:
+        if not self.exist():
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.pointers)]
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def _pointer(self, number: int):
+        return self._at(f"{self.path}/_versions/{number:012d}")
+
+    def _named(self, number: int) -> str | None:
+        """The folder that a pointer names; nothing if its writer was lost before the end of the line."""
+        try:
+            stream = self.fs.open(self._pointer(number))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        except Py4JJavaError:  # another writer removed an old pointer
+            return None
+        name = text[:-1]
+        return name if text.endswith("\n") and self.fs.exists(self._at(f"{self.path}/{name}")) else None
+
+    def current(self) -> str:
+        """The folder of the newest version."""
+        for number in self._numbers():
+            if name := self._named(number):
+                return f"{self.path}/{name}"
+        raise FileNotFoundError(f"nothing is published at {self.path}")
+
+    def point_to(self, name: str) -> None:
+        number = next(iter(self._numbers()), 0)
+        while True:
+            number += 1
+            try:
+                stream = self.fs.create(self._pointer(number), False)
+                break
+            except Py4JJavaError:
+                if not self.fs.exists(self._pointer(number)):
+                    raise
+        stream.write(bytearray(f"{name}\n".encode()))
+        stream.close()
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(f"{self.path}/{name}"), True)
+
+    def prune(self, keep: int) -> None:
+        """Delete all but the newest `keep` versions; pointers go first."""
+        whole = [(n, name) for n in self._numbers() if (name := self._named(n))]
+        for number, name in whole[keep:]:
+            self.fs.delete(self._pointer(number), False)
+            self.remove(name)
+
+
 def publish_atomic(
-    df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None
+    df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, keep: int = 2, **how
 ) -> DataFrame:
-    """Write beside the target, check what was written, then put it in the target's place.
+    """Write a new version of a table, check what was written, then let readers find it.
 
-    The old table is moved aside before and deleted after. If the check or a rename fails, the old
-    table is moved back and the new copy is removed, so one whole table is always there, though for
-    the time between the two renames under its name with `.old` and a number. Both names are new for
-    each call, so that two writers don't meet.
+    Readers use `read_table`. Until the last step they get the version before, and after a failure or
+    the loss of the driver at any step they still do. The newest `keep` versions stay, so that a job that
+    has begun to read one can end. `how` goes to `write_table`.
     """
-    spark = df.sparkSession
-    nr = uuid.uuid4().hex[:12]
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    fresh, old, target = jvm_path(f"{path}.new-{nr}"), jvm_path(f"{path}.old-{nr}"), jvm_path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = Versions(df.sparkSession, path)
+    name = f"v-{uuid.uuid4().hex[:12]}"
     try:
-        write_table(df, fresh.toString())
+        write_table(df, f"{versions.path}/{name}", **how)
         if check:
-            check(spark.read.parquet(fresh.toString()))
-        replace_folder(fs, fresh, target, old)
-    except BaseException:
-        fs.delete(fresh, True)
-        raise
-    return spark.read.parquet(path)
-
-
-def replace_folder(fs, fresh, target, old) -> None:
-    """Move `fresh` to `target`, by way of `old` for what is there; on failure all is as before."""
-    before = fs.exists(target)
-    if before and not fs.rename(target, old):
-        raise OSError(f"could not move {target} aside")
-    try:
-        if not fs.rename(fresh, target):
-            raise OSError(f"could not publish {target}")
+            check(df.sparkSession.read.schema(df.schema).parquet(f"{versions.path}/{name}"))
+        versions.point_to(name)
     except BaseException:
-        if before and not fs.rename(old, target):
-            raise OSError(f"the old table is left at {old}") from None
+        versions.remove(name)
         raise
-    if before:
-        fs.delete(old, True)
+    versions.prune(keep)
+    return read_table(df.sparkSession, path)
 
 
 def read_rules(
