@@ -1,5 +1,8 @@
 """Learned rankers: exactness where it can be checked, and no leaks."""
 
+import json
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import models, rankers
 from tillroll.operators.features import MODEL_COLUMNS, NULLABLE_COLUMNS
 from tillroll.plans import experiments as ex
-from tillroll.plans.workspace import workspace
+from tillroll.plans.workspace import Workspace, workspace
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -68,7 +71,7 @@ def test_columns_that_are_constant_inside_users_get_no_weight(spark):
     assert hit_share(df, models.score_pairwise(weights, fill, df)) > 0.9
 
 
-def test_models_learn_and_take_nulls(spark):
+def test_models_learn_and_take_nulls(spark, tmp_path):
     df = synthetic(spark)
     logistic, fill = models.train_logistic(df, max_iter=50)
     assert hit_share(df, models.score_logistic(logistic, fill, df)) > 0.9
@@ -76,7 +79,18 @@ def test_models_learn_and_take_nulls(spark):
     assert set(top) == {"ratio_usuario_producto", "recencia_relativa"}
     boosted, fill = models.train_boosting(df, 5, {"maxDepth": 3, "minInstancesPerNode": 5})
     assert hit_share(df, models.score_boosting(boosted, fill, df)) > 0.8
-    imp = models.feature_importance(boosted).collect()
+    nodes = models.save_model(boosted, str(tmp_path / "model"))
+    imp = models.feature_importance(models.tree_nodes(spark, nodes)).collect()
+    names = models.design_columns()
+    weights = boosted.stages[-1].featureImportances.toArray()
+    assert {r["variable"]: r["pct_gain"] for r in imp} == pytest.approx(dict(zip(names, weights)))
+    want = duckdb.sql(f"""
+        SELECT nodeData.split.featureIndex, sum(nodeData.gain * nodeData.impurityStats[1]), count(*)
+        FROM read_parquet('{nodes}/*.parquet') WHERE nodeData.split.featureIndex >= 0 GROUP BY 1""").fetchall()
+    got = {r["variable"]: (r["gain"], r["split"]) for r in imp if r["split"]}
+    assert {n: g[1] for n, g in got.items()} == {names[c]: n for c, _, n in want}
+    assert {n: g[0] for n, g in got.items()} == pytest.approx({names[c]: g for c, g, _ in want})
+    assert len(imp) == len(names)
     assert sum(r["pct_gain"] for r in imp) == pytest.approx(1)
     assert sum(r["pct_split"] for r in imp) == pytest.approx(1)
     assert imp[0]["variable"] in {"ratio_usuario_producto", "recencia_relativa"}
@@ -102,6 +116,51 @@ def test_smaller_training_samples_are_contained_in_larger_ones(ws):
 def test_search_starts_with_the_current_parameters():
     assert ex.trial_params(0) == models.BOOSTING
     assert ex.trial_params(1) == ex.trial_params(1) != ex.trial_params(2)
-    for t in range(1, 20):
-        for name, (low, high) in ex.SEARCH_SPACE.items():
-            assert low <= ex.trial_params(t)[name] <= high
+    drawn = [ex.trial_params(t) for t in range(1, 400)]
+    for name, (low, high) in ex.SEARCH_SPACE.items():
+        values = sorted(float(p[name]) for p in drawn)
+        assert low <= values[0] <= low + (high - low) / 5 and high - (high - low) / 5 <= values[-1] <= high
+        if name in ex.LOG_SCALE:  # half of the draws are below the geometric mean
+            assert values[len(values) // 2] == pytest.approx((low * high) ** 0.5, rel=0.2)
+    assert set(models.BOOSTING) == set(ex.SEARCH_SPACE)
+
+
+def test_steps_of_the_search():
+    assert ex.rungs(25, 10, 600) == [(25, 10), (13, 20), (7, 40), (4, 80), (2, 160), (1, 320)]
+    assert ex.rungs(25, 4, 32) == [(25, 4), (13, 8), (7, 16), (4, 32)]
+    assert ex.rungs(1, 4, 32) == [(1, 4)] and ex.rungs(9, 50, 20) == [(9, 20)]
+
+
+def test_the_better_half_goes_on(spark, ws, tmp_path):
+    kept = {}
+
+    def keep(name, df):
+        kept[name] = ws.store.table(f"prueba_{name}", lambda: df)
+        return kept[name]
+
+    trials = ex.search_params(
+        ws.part("train"), ws.targets, trials=5, first_trees=1, max_trees=3, fixed={"maxDepth": 3}, keep=keep
+    )
+    trials = ws.store.table("prueba_intentos", lambda: trials)
+    steps = {}
+    for r in trials.collect():
+        steps.setdefault(r["peldano"], {})[r["intento"]] = (-r["recall"], r["intento"])
+        assert json.loads(r["parametros"])["maxDepth"] == 3 and r["arboles"] == [1, 2, 3][r["peldano"]]
+    assert [len(s) for s in steps.values()] == [5, 3, 2] and set(kept) == {"busqueda_prueba", "busqueda_verdad", "busqueda_filas"}
+    for a, b in ((0, 1), (1, 2)):
+        assert set(steps[b]) == set(sorted(steps[a], key=steps[a].get)[: len(steps[b])])
+    # the choice, by SQL over the written table
+    path = ws.store.path("prueba_intentos", lambda: None)
+    want = duckdb.sql(f"""
+        SELECT peldano, intento, row_number() OVER (PARTITION BY peldano ORDER BY recall DESC, intento) = 1
+                 AND peldano = max(peldano) OVER () AS es_mejor,
+               max(peldano) OVER (PARTITION BY intento) > peldano AS sigue
+        FROM read_parquet('{path}/*.parquet')""").fetchall()
+    got = ex.best_trial(trials).select("peldano", "intento", "es_mejor", "sigue").collect()
+    assert sorted(want) == sorted(tuple(r) for r in got)
+
+    saved = str(tmp_path / "params")
+    best = ex.tuned_params(trials, spark, saved)
+    assert Workspace(spark, SF_DIR, params=saved).boosting_params() == (best, "tuned in 5 trials")
+    assert Workspace(spark, SF_DIR, params=str(tmp_path / "none")).boosting_params() == (models.BOOSTING, "default")
+    assert Workspace(spark, SF_DIR).boosting_params() == (models.BOOSTING, "default")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions import safe_ratio
 from tillroll.operators.features import (
     MODEL_COLUMNS,
     NULLABLE_COLUMNS,
@@ -22,8 +22,12 @@ from tillroll.operators.features import (
     shuffled_position,
 )
 
-# Boosting defaults. A tree of depth 6 has up to 64 leaves.
-BOOSTING = {"stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 200, "subsamplingRate": 0.8}
+# Boosting defaults. A tree of depth 6 has up to 64 leaves; `featureSubsetStrategy` is the
+# share of columns that a split may choose from.
+BOOSTING = {
+    "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 200, "subsamplingRate": 0.8,
+    "featureSubsetStrategy": "0.8",
+}
 N_TREES = 600
 # The vector columns take no NULLs. A user with one prior order has no median gap either.
 IMPUTED_COLUMNS = (*NULLABLE_COLUMNS, "mediana_dias_entre_ordenes_historicas")
@@ -149,8 +153,6 @@ def score_logistic(
 
 def logistic_weights(model: PipelineModel, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
     """Coefficient per column, largest first. One row per model column."""
-    from pyspark.sql import SparkSession
-
     values = model.stages[-1].coefficients.toArray().tolist()
     rows = [(n, float(v), abs(float(v))) for n, v in zip(design_columns(columns), values)]
     return SparkSession.getActiveSession().createDataFrame(
@@ -158,6 +160,38 @@ def logistic_weights(model: PipelineModel, columns: Sequence[str] = MODEL_COLUMN
     ).orderBy(F.desc("magnitud"), "variable")
 
 
+def boosting_rows(
+    train: DataFrame,
+    columns: Sequence[str] = MODEL_COLUMNS,
+    seed: int = SEED,
+    held_out: DataFrame | None = None,
+) -> tuple[DataFrame, dict[str, float]]:
+    """The rows that boosting fits on (x, etiqueta, es_freno), and the medians they were imputed with.
+
+    A caller that fits several times writes them to a table first, so that they are made once.
+    """
+    fill = train_medians(train)
+    stop = early_stop_split(train, seed=seed) if held_out is None else held_out
+    rows = spread(design(train, fill, columns).join(stop, "user_id"))
+    return _assembler(columns).transform(rows).select("x", "etiqueta", "es_freno"), fill
+
+
+def fit_boosting(
+    rows: DataFrame,
+    trees: int = N_TREES,
+    params: dict | None = None,
+    columns: Sequence[str] = MODEL_COLUMNS,
+    seed: int = SEED,
+) -> PipelineModel:
+    """Boosted trees that stop when the rows marked es_freno stop improving."""
+    boosting = GBTClassifier(
+        featuresCol="x", labelCol="etiqueta", maxIter=trees, seed=seed,
+        validationIndicatorCol="es_freno", validationTol=1e-4,
+        **{**BOOSTING, **(params or {})},
+    )
+    return PipelineModel([_assembler(columns), boosting.fit(rows)])
+
+
 def train_boosting(
     train: DataFrame,
     trees: int = N_TREES,
@@ -165,25 +199,15 @@ def train_boosting(
     columns: Sequence[str] = MODEL_COLUMNS,
     seed: int = SEED,
     held_out: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[PipelineModel, dict[str, float]]:
     """Boosted trees that stop when held-out train users stop improving.
 
-    `held_out` is (user_id, es_freno); by default 10 % of the train users.
+    `held_out` is (user_id, es_freno); by default 10 % of the train users. `keep` may write the rows to
+    a table, so that the passes of the training read them and not what they come from.
     """
-    fill = train_medians(train)
-    stop = early_stop_split(train, seed=seed) if held_out is None else held_out
-    rows = spread(design(train, fill, columns).join(stop, "user_id"))
-    steps = Pipeline(
-        stages=[
-            _assembler(columns),
-            GBTClassifier(
-                featuresCol="x", labelCol="etiqueta", maxIter=trees, seed=seed,
-                validationIndicatorCol="es_freno", validationTol=1e-4,
-                **{**BOOSTING, **(params or {})},
-            ),
-        ]
-    )
-    return steps.fit(rows), fill
+    rows, fill = boosting_rows(train, columns, seed, held_out)
+    return fit_boosting(keep(rows), trees, params, columns, seed), fill
 
 
 def score_boosting(
@@ -192,24 +216,38 @@ def score_boosting(
     return _scored(model, design(df, fill, columns))
 
 
-def feature_importance(model: PipelineModel, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
-    """Gain and number of splits per column, each as a share. One row per model column."""
-    from pyspark.sql import SparkSession
+def save_model(model: PipelineModel, path: str) -> str:
+    """Save the trees of a boosted model; returns where their nodes lie as a table."""
+    model.stages[-1].save(path)
+    return f"{path}/data"
 
-    trees = model.stages[-1]
-    names = design_columns(columns)
-    gain = trees.featureImportances.toArray().tolist()
-    used = re.findall(r"If \(feature (\d+) ", trees.toDebugString)
-    splits = [0] * len(names)
-    for i in used:
-        splits[int(i)] += 1
-    total_gain, total_splits = sum(gain) or 1.0, sum(splits) or 1
-    rows = [
-        (n, float(g), s, float(g) / total_gain, s / total_splits)
-        for n, g, s in zip(names, gain, splits)
-    ]
-    return SparkSession.getActiveSession().createDataFrame(
-        rows, "variable STRING, gain DOUBLE, split INT, pct_gain DOUBLE, pct_split DOUBLE"
+
+def tree_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a saved model: arbol, nodo, columna (-1 in a leaf), ganancia, filas.
+
+    `filas` is the weight of the rows that reached the node, `ganancia` what its split gains per row.
+    """
+    return spark.read.parquet(path).select(
+        F.col("treeID").alias("arbol"),
+        F.col("nodeData.id").alias("nodo"),
+        F.col("nodeData.split.featureIndex").alias("columna"),
+        F.col("nodeData.gain").alias("ganancia"),
+        F.col("nodeData.impurityStats")[0].alias("filas"),
+    )
+
+
+def feature_importance(nodes: DataFrame, columns: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
+    """Gain and number of splits per column, each with its share. One row per model column."""
+    names = [(i, n) for i, n in enumerate(design_columns(columns))]
+    used = nodes.where("columna >= 0").groupBy("columna").agg(
+        F.sum(F.col("ganancia") * F.col("filas")).alias("gain"), F.count(F.lit(1)).cast("int").alias("split")
+    )
+    everything = Window.partitionBy()  # one row per model column
+    rows = nodes.sparkSession.createDataFrame(names, "columna INT, variable STRING").join(used, "columna", "left")
+    rows = rows.fillna(0, ["gain", "split"])
+    share = lambda c: F.coalesce(safe_ratio(F.col(c), F.sum(c).over(everything)), F.lit(0.0))
+    return rows.select(
+        "variable", "gain", "split", share("gain").alias("pct_gain"), share("split").alias("pct_split")
     ).orderBy(F.desc("gain"), "variable")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+import json
+import math
+import random
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import safe_ratio, segment_order
@@ -13,6 +18,7 @@ from tillroll.functions import md5_key
 from tillroll.operators import metrics, models, rankers, recommend
 from tillroll.operators.features import MODEL_COLUMNS, SEED
 from tillroll.operators.metrics import ALL, Cut
+from tillroll.sources.store import save_params
 
 # List lengths of the sweep, block sizes of the curve, training fractions.
 LIST_LENGTHS = (5, 8, 10, 12, 15, 20, 25, 30)
@@ -379,65 +385,108 @@ def learning_curve(
     ).withColumn("paso_recall", F.col("recall") - F.lag("recall").over(by_size))
 
 
-# Search ranges of the boosting parameters.
+# Search ranges of the boosting parameters; those in LOG_SCALE are drawn by their logarithm.
 SEARCH_SPACE = {
     "stepSize": (0.02, 0.15),
-    "maxDepth": (4, 8),
+    "maxDepth": (5, 8),
     "minInstancesPerNode": (50, 500),
     "subsamplingRate": (0.6, 1.0),
+    "featureSubsetStrategy": (0.5, 1.0),
 }
+LOG_SCALE = ("stepSize", "minInstancesPerNode")
+TRIAL_SCHEMA = "peldano INT, intento INT, arboles INT, recall DOUBLE, parametros STRING"
 
 
 def trial_params(trial: int, seed: int = SEED) -> dict:
     """Parameters of a trial. Trial 0 is the current setting, the others are drawn from the space."""
-    import random
-
     if trial == 0:
         return dict(models.BOOSTING)
     draw = random.Random(f"{seed}:{trial}")
     out = {}
     for name, (low, high) in SEARCH_SPACE.items():
-        if isinstance(low, int):
-            out[name] = draw.randint(low, high)
+        if name in LOG_SCALE:
+            value = math.exp(draw.uniform(math.log(low), math.log(high)))
         else:
-            out[name] = draw.uniform(low, high)
+            value = draw.uniform(low, high + 1 if isinstance(low, int) else high)
+        out[name] = min(int(value), high) if isinstance(low, int) else value
+    out["featureSubsetStrategy"] = f"{out['featureSubsetStrategy']:.4f}"
+    return out
+
+
+def rungs(trials: int, first_trees: int, max_trees: int) -> list[tuple[int, int]]:
+    """(trials, trees) of each step: half of the trials and twice the trees, to the last one or the most trees."""
+    out = [(trials, min(first_trees, max_trees))]
+    while out[-1][0] > 1 and out[-1][1] < max_trees:
+        out.append(((out[-1][0] + 1) // 2, min(2 * out[-1][1], max_trees)))
     return out
 
 
 def search_params(
     train: DataFrame, targets: DataFrame, trials: int = 25, k: int = 10,
-    trees: int = models.N_TREES, fixed: dict | None = None, seed: int = SEED,
+    first_trees: int = 10, max_trees: int = models.N_TREES, fixed: dict | None = None, seed: int = SEED,
+    at_once: int = 4, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
 ) -> DataFrame:
-    """Random search for the recall of held-out train users. Validation users are never used.
+    """Search by successive halving for the recall of held-out train users.
 
-    Users of train are split into fit, stop and tune; every trial fits on the first two and is
-    scored on the third.
-    """
-    import json
+    All trials are fitted with few trees; the better half goes on with twice as many, and so on. Users of
+    train are split into fit, stop and tune; every trial fits on the first two and is scored on the
+    third. Validation users are never used. Up to `at_once` trials are fitted at the same time, which
+    fills the cluster while single trees are small; `keep` may write the rows that they share to a table.
 
+    One row per trial and step: peldano, intento, arboles, recall, parametros. `best_trial` chooses.
+    """
     parts = models.three_way_split(train, seed)
     fit = train.join(parts.where("parte <> 'tuning'").select("user_id"), "user_id", "left_semi")
     tune = train.join(parts.where("parte = 'tuning'").select("user_id"), "user_id", "left_semi")
+    tune = keep("busqueda_prueba", tune)
     stop = parts.select("user_id", (F.col("parte") == "freno").alias("es_freno"))
-    truth = rankers.truth(targets, tune.select("user_id").distinct())
-    lists, tried = {}, {}
-    for t in range(trials):  # one training job per trial
-        params = {**trial_params(t, seed), **(fixed or {})}
-        model, fill = models.train_boosting(fit, trees, params, held_out=stop)
-        name = f"{t:03d}"
-        tried[name] = json.dumps(params, sort_keys=True)
-        lists[name] = rankers.topk(models.score_boosting(model, fill, tune), "score", k)
-    scored = metrics.score(metrics.stack(lists), truth, [Cut(m, m, k) for m in lists])
-    params_of = F.create_map(*[F.lit(x) for kv in tried.items() for x in kv])
-    best = F.row_number().over(Window.partitionBy().orderBy(F.desc("recall"), "modelo"))
-    return scored.select(
-        F.col("modelo").cast("int").alias("intento"),
-        "recall",
-        params_of[F.col("modelo")].alias("parametros"),
-        (best == 1).alias("es_mejor"),
+    truth = keep("busqueda_verdad", rankers.truth(targets, tune.select("user_id").distinct()))
+    rows, fill = models.boosting_rows(fit, held_out=stop)
+    rows = keep("busqueda_filas", rows)
+    params = {t: {**trial_params(t, seed), **(fixed or {})} for t in range(trials)}
+    alive, found = list(params), []
+    spark = train.sparkSession
+    for step, (n, trees) in enumerate(rungs(trials, first_trees, max_trees)):
+        alive = alive[:n]
+
+        def one(trial: int, trees: int = trees):
+            return models.fit_boosting(rows, trees, params[trial])
+
+        with ThreadPoolExecutor(at_once) as pool:
+            # each thread takes the session's settings along
+            fitted = list(pool.map(inheritable_thread_target(spark)(one), alive))
+        lists = {
+            f"{t:03d}": rankers.topk(models.score_boosting(m, fill, tune), "score", k) for t, m in zip(alive, fitted)
+        }
+        scored = metrics.score(metrics.stack(lists), truth, [Cut(m, m, k) for m in lists])
+        recall = {int(r["modelo"]): r["recall"] for r in scored.select("modelo", "recall").collect()}
+        found += [(step, t, trees, recall[t], json.dumps(params[t], sort_keys=True)) for t in alive]
+        alive.sort(key=lambda t: (-recall[t], t))
+    return spark.createDataFrame(found, TRIAL_SCHEMA)
+
+
+def best_trial(trials: DataFrame) -> DataFrame:
+    """The trials with `sigue`, whether one went on, and `es_mejor`, the best of the last step."""
+    last = Window.partitionBy("intento")
+    place = F.row_number().over(Window.partitionBy("peldano").orderBy(F.desc("recall"), "intento"))
+    everything = Window.partitionBy()  # a few dozen rows
+    return trials.withColumns(
+        {
+            "sigue": F.max("peldano").over(last) > F.col("peldano"),
+            "es_mejor": (F.col("peldano") == F.max("peldano").over(everything)) & (place == 1),
+        }
     )
 
 
+def tuned_params(trials: DataFrame, spark: SparkSession, path: str) -> dict:
+    """Save the parameters of the best trial where training looks for them (`store.load_params`)."""
+    best = best_trial(trials).where("es_mejor").first()
+    params = json.loads(best["parametros"])
+    tried = trials.agg(F.count_distinct("intento")).first()[0]
+    save_params(spark, path, params, recall=best["recall"], trees=best["arboles"], trials=tried)
+    return params
+
+
 def feature_ablation(
     train: DataFrame, valid: DataFrame, truth: DataFrame, base: Sequence[str] = MODEL_COLUMNS,
     extra: Sequence[str] = (), k: int = 10, trees: int = models.N_TREES, params: dict | None = None,

@@ -442,7 +442,10 @@ def _logistic(ws):
 
 def _boosting(ws):
     if "boosting" not in ws.made:
-        ws.made["boosting"] = models.train_boosting(ws.part("train"))
+        ws.made["boosting"] = models.train_boosting(
+            ws.part("train"), params=ws.boosting_params()[0],
+            keep=lambda df: ws.store.table("filas_de_ajuste", lambda: df),
+        )
     return ws.made["boosting"]
 
 
@@ -455,7 +458,15 @@ add(
     "r8_train_boosting",
     lambda ws: rankers.topk(models.score_boosting(*_boosting(ws), ws.part("valid")), "score", 10),
 )
-add("r11_feature_importance", lambda ws: models.feature_importance(_boosting(ws)[0]))
+
+
+def _nodes(ws):
+    if "nodes" not in ws.made:
+        ws.made["nodes"] = models.save_model(_boosting(ws)[0], ws.store.fresh_path("modelo"))
+    return models.tree_nodes(ws.spark, ws.made["nodes"])
+
+
+add("r11_feature_importance", lambda ws: models.feature_importance(_nodes(ws)))
 
 
 def _pairwise(ws):
@@ -493,8 +504,14 @@ add(
 )
 add(
     "e9_search_params",
-    lambda ws: ex.search_params(
-        ws.part("train"), ws.targets, trials=2, trees=4
+    lambda ws: ex.best_trial(
+        ws.store.table(
+            "busqueda",
+            lambda: ex.search_params(
+                ws.part("train"), ws.targets, first_trees=4, max_trees=32,
+                keep=lambda name, df: ws.store.table(name, lambda: df),
+            ),
+        )
     ),
 )
 add(

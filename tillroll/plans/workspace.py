@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import candidates as cand
 from tillroll.operators import features as feat
-from tillroll.operators import gates, rankers, recommend, rules, tables, validate
+from tillroll.operators import gates, models, rankers, recommend, rules, tables, validate
 from tillroll.sources import mapping, raw
-from tillroll.sources.store import Store
+from tillroll.sources.store import Store, load_params
 
 # The published rule limits (minimum orders, minimum pairs, minimum confidence).
 PUBLISHED_LIMITS = (500, 100, 0.05)
@@ -31,6 +31,7 @@ class Workspace:
 
     What is wrong with a table stops the build with `gates.BuildStopped` before the table can be read.
     `report_only` names rules (as table.control) that are counted only; `checks()` has all counts.
+    `params` is where a search saved the parameters of boosting; without it the defaults are used.
     """
 
     def __init__(
@@ -40,10 +41,12 @@ class Workspace:
         folder: str | None = None,
         limits: tuple[int, int, float] = PUBLISHED_LIMITS,
         report_only: Sequence[str] = (),
+        params: str | None = None,
     ):
         self.spark = spark
         self.source = source
         self.limits = limits
+        self.params = params
         self.report_only = frozenset(report_only)
         self.store = Store(spark, folder, gates.counts, partial(gates.require, skip=self.report_only))
         self.made: dict[str, object] = {}  # what the registered queries share: paths, models
@@ -251,6 +254,12 @@ class Workspace:
     def top10(self) -> DataFrame:
         return self.ranking.where("rank <= 10")
 
+    def boosting_params(self) -> tuple[dict, str]:
+        """The parameters that boosting is trained with, and where they come from."""
+        if self.params is None:
+            return dict(models.BOOSTING), "default"
+        return load_params(self.spark, self.params, models.BOOSTING)
+
     # rules -----------------------------------------------------------------------------------
 
     @cached_property
