@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import harness
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tillroll.operators import models, rankers
 from tillroll.operators.features import MODEL_COLUMNS, NULLABLE_COLUMNS
 from tillroll.plans import experiments as ex
+from tillroll.plans import oracle
+from tillroll.plans.registry import REGISTRY, rounded
 from tillroll.plans.workspace import Workspace, workspace
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -113,6 +116,30 @@ def test_smaller_training_samples_are_contained_in_larger_ones(ws):
     assert got[0.25] < got[0.5] < got[1.0]
 
 
+def test_the_final_system_on_a_trained_ranking(spark, ws, monkeypatch):
+    """The queries on the trained ranking against the SQL of those on the heuristic, given that ranking."""
+    model, fill = models.train_boosting(ws.part("train"), 4, {"maxDepth": 4, "minInstancesPerNode": 20})
+    trained = ws.with_ranking(lambda: rankers.topk(models.score_boosting(model, fill, ws.part("valid")), "score", 30))
+    stored = trained.ranking
+    assert sorted(stored.collect()) != sorted(ws.ranking.collect())
+    path = trained.store.path("ranking", lambda: None)
+    monkeypatch.setitem(oracle.CTES, "x_ranking", f"SELECT * FROM read_parquet('{path}/*.parquet')")
+    monkeypatch.setattr(type(ws), "trained", trained)
+    con = harness.database(SF_DIR)
+    for name, base in {
+        "a16_two_block_trained": "a16_two_block", "e3_sweep_n_trained": "e3_sweep_n",
+        "e15_block_one_trained": "e15_block_one_report", "s11_export_trained": "s11_export_recommendations",
+    }.items():
+        query = REGISTRY[base]
+        sql = oracle.sql(query.sql, query.floats, 9)
+        assert "read_parquet" in sql
+        assert harness.compare(rounded(REGISTRY[name].job(ws)), con, sql) == [], name
+    assert trained.two_block.count() and ws.two_block.count()
+    # what was counted while both were written
+    assert trained.store.observed["dos_bloques"]["huella"] == trained.store.observed["ranking"]["huella"]
+    assert trained.store.observed["ranking"]["huella"] != ws.store.observed["ranking"]["huella"]
+
+
 def test_search_starts_with_the_current_parameters():
     assert ex.trial_params(0) == models.BOOSTING
     assert ex.trial_params(1) == ex.trial_params(1) != ex.trial_params(2)
@@ -146,7 +173,7 @@ def test_the_better_half_goes_on(spark, ws, tmp_path):
     for r in trials.collect():
         steps.setdefault(r["peldano"], {})[r["intento"]] = (-r["recall"], r["intento"])
         assert json.loads(r["parametros"])["maxDepth"] == 3 and r["arboles"] == [1, 2, 3][r["peldano"]]
-    assert [len(s) for s in steps.values()] == [5, 3, 2] and set(kept) == {"busqueda_prueba", "busqueda_verdad", "busqueda_filas"}
+    assert [len(steps[i]) for i in sorted(steps)] == [5, 3, 2] and set(kept) == {"busqueda_prueba", "busqueda_verdad", "busqueda_filas"}
     for a, b in ((0, 1), (1, 2)):
         assert set(steps[b]) == set(sorted(steps[a], key=steps[a].get)[: len(steps[b])])
     # the choice, by SQL over the written table

@@ -152,10 +152,10 @@ add(
 add("d9_basket_sizes", _baskets, "SELECT * FROM x_basket")
 add(
     "d9_basket_histogram",
-    lambda ws: eda.basket_histogram(_baskets(ws), 4, 3),
-    """SELECT 'items' AS variable, least(n_items, 4) AS bin, count(*) AS pedidos
+    lambda ws: eda.basket_histogram(_baskets(ws)),
+    """SELECT 'items' AS variable, least(n_items, 40) AS bin, count(*) AS pedidos
        FROM x_basket GROUP BY 2
-       UNION ALL SELECT 'departamentos', least(n_deptos, 3), count(*) FROM x_basket GROUP BY 2""",
+       UNION ALL SELECT 'departamentos', least(n_deptos, 15), count(*) FROM x_basket GROUP BY 2""",
 )
 add(
     "d9_basket_medians",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import copy
+from collections.abc import Callable, Sequence
 from functools import cached_property, partial
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ REGISTERED_LIMITS = (5, 3, 0.05)
 # Rules that the registered queries count and don't stop on: one user of the skewed test data has more
 # orders than the published data allow, and in a small catalogue a user can have bought nearly all of it.
 REGISTERED_REPORT_ONLY = ("orders.order_number_fuera", "candidatos_nuevos.completos")
+DEEPEST = 30
+# the tables that are made from the ranking
+BY_RANKING = ("ranking", "dos_bloques", "recomendaciones")
 
 
 class Workspace:
@@ -49,6 +54,7 @@ class Workspace:
         self.params = params
         self.report_only = frozenset(report_only)
         self.store = Store(spark, folder, gates.counts, partial(gates.require, skip=self.report_only))
+        self._rank: Callable[[], DataFrame] | None = None
         self.made: dict[str, object] = {}  # what the registered queries share: paths, models
 
     @staticmethod
@@ -244,12 +250,36 @@ class Workspace:
 
     @cached_property
     def ranking(self) -> DataFrame:
-        """Validation ranking of the heuristic, deep enough for every list length in use."""
-        return self.store.table(
-            "ranking",
-            lambda: rankers.topk(self.part("valid"), rankers.heuristic_score(), 30),
+        """Validation ranking, deep enough for every list length in use; of the heuristic if no other is given."""
+        return self.store.table("ranking", self._rank or self._rank_by_heuristic)
+
+    def _rank_by_heuristic(self) -> DataFrame:
+        return rankers.topk(self.part("valid"), rankers.heuristic_score(), DEEPEST)
+
+    def with_ranking(self, rank: Callable[[], DataFrame]) -> Workspace:
+        """The same tables with another ranking (user_id, product_id, rank) and what is made from it."""
+        other = copy.copy(self)
+        for name in ("ranking", "top10", "two_block"):
+            other.__dict__.pop(name, None)
+        other.store, other.made, other._rank = self.store.branch(BY_RANKING), {}, rank
+        return other
+
+    @cached_property
+    def boosting(self) -> tuple[PipelineModel, dict[str, float]]:
+        """Boosting trained on the train users, and the medians it imputes with."""
+        return models.train_boosting(
+            self.part("train"), params=self.boosting_params()[0],
+            keep=lambda df: self.store.table("filas_de_ajuste", lambda: df),
         )
 
+    @cached_property
+    def trained(self) -> Workspace:
+        """This workspace with the ranking of the trained model."""
+        def rank() -> DataFrame:
+            return rankers.topk(models.score_boosting(*self.boosting, self.part("valid")), "score", DEEPEST)
+
+        return self.with_ranking(rank)
+
     @cached_property
     def top10(self) -> DataFrame:
         return self.ranking.where("rank <= 10")

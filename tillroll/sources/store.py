@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import copy
 import json
 import os
 import uuid
@@ -271,6 +272,13 @@ class Store:
             self._tables[name] = self.spark.read.schema(StructType(fields)).parquet(path)
         return self._tables[name]
 
+    def branch(self, without: Sequence[str]) -> Store:
+        """A store with the tables of this one but for some, which it builds anew. It has the same folder."""
+        other = copy.copy(self)
+        for kind in ("_tables", "_paths", "observed"):
+            setattr(other, kind, {n: v for n, v in getattr(self, kind).items() if n not in without})
+        return other
+
     def forget(self, name: str) -> None:
         """Take a table back."""
         self._delete(self._paths.pop(name))
