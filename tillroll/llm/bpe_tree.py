@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -81,27 +82,51 @@ class TreeJoiner:
 class WordEncoder:
     """Texts as the library encodes and decodes them; words seen before are looked up.
 
-    The vocabulary's pattern never goes across a blank, so a text is cut at spaces and line feeds.
+    The vocabulary's pattern never goes across a blank, so a text is cut at spaces and line feeds. Words
+    are known in two generations: when the young one is full it becomes the old one, and an old word that
+    is met again moves back, so that frequent words stay. A known word is a few bytes of ids; numbers and
+    names of ids come from two tables.
     """
 
-    def __init__(self, name: str, cached: int = 150_000):
+    def __init__(self, name: str, cached: int = 250_000):
         self.tok, self.cached = load(name), cached
-        self.known: dict[str, tuple[list[int], str, str]] = {}
-        self.name = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-
-    def parts(self, text: str) -> list[tuple[list[int], str, str]]:
-        words = [w for w in text.replace("\n", " ").split(" ") if w]
-        known = self.known
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
+        self.kind = "H" if size <= 1 << 16 else "I"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.number = [str(i) for i in range(size)]
+        self.name = [""] * size
+        for token, i in vocabulary.items():
+            self.name[i] = token
+
+    def encode(self, text: str) -> array:
+        words = text.replace("\n", " ").split(" ")
         try:
-            return [known[w] for w in words]
+            return array(self.kind, b"".join(map(self.young.__getitem__, words)))
         except KeyError:
-            if len(known) > self.cached:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                ids = e.ids
-                known[w] = (ids, " ".join(map(str, ids)), " ".join([self.name[i] for i in ids]))
-            return [known[w] for w in words]
+            return array(self.kind, b"".join(self._learn(words)))
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        new = []
+        for word in {w for w in words if w not in young}:
+            if (known := old.get(word)) is not None:
+                young[word] = known
+            else:
+                new.append(word)
+        for word, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            young[word] = array(self.kind, e.ids).tobytes()
+        out = [young[w] for w in words]
+        if len(young) > self.cached:
+            self.old, self.young = young, {}
+        return out
+
+    def shown(self, ids: Sequence[int]) -> str:
+        return " ".join(map(self.number.__getitem__, ids))
+
+    def decoded(self, ids: Sequence[int]) -> str:
+        return " ".join(map(self.name.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -111,7 +136,7 @@ def worker_encoder(name: str) -> WordEncoder:
 
 
 def _row(ids: list[int], shown: str, decoded: str, outputs: Sequence[str]) -> list:
-    made = {"n_tokens": lambda: len(ids), "ids": lambda: ids, "decoded": lambda: decoded,
+    made = {"n_tokens": lambda: len(ids), "ids": lambda: list(ids), "decoded": lambda: decoded,
             "ids_sha256": lambda: hashlib.sha256(shown.encode()).hexdigest(),
             "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest()}
     return [made[o]() for o in outputs]
@@ -126,12 +151,8 @@ def _encode_texts(docs: DataFrame, vocabulary: str, outputs: Sequence[str]) -> D
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                parts = [p for p in encoder.parts(text or "") if p[0]]
-                shown, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-                if "ids" in outputs:
-                    rows.append(_row([i for p in parts for i in p[0]], shown, decoded, outputs))
-                else:
-                    rows.append(_row(range(sum([len(p[0]) for p in parts])), shown, decoded, outputs))
+                ids = encoder.encode(text or "")
+                rows.append(_row(ids, encoder.shown(ids), encoder.decoded(ids), outputs))
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), arrow)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *outputs])
@@ -206,7 +227,7 @@ def _encode_long(docs: DataFrame, vocabulary: str, outputs: Sequence[str], leaf:
             tokens = []
             for kind, part in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist()):
                 if kind == "text":
-                    tokens.append([t for p in encoder.parts(part) if p[0] for t in p[2].split(" ")])
+                    tokens.append([encoder.name[i] for i in encoder.encode(part)])
                 elif kind == "special":
                     tokens.append([part])
                 else:
