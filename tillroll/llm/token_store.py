@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import shared_folder
 from tillroll.llm.prefix_counts import PieceSplitter, spaced_simply
-from tillroll.llm.vocabulary import load, specials
+from tillroll.llm.vocabulary import byte_letters, load, specials
 
 MAGIC = b"EFT1"
 HEAD = struct.Struct("<4sBIIIq")
@@ -145,40 +145,60 @@ class Encoder:
 
     Where no space has a blank beside it, a text may be cut before each space. The words of a new piece
     are encoded by the library's model. Other texts, and texts with special strings, go to the library
-    whole.
+    whole. Pieces, and words of pieces with more than one, are known in two generations: when the young
+    one is full it becomes the old one, and what is met again moves back, so that frequent ones stay.
     """
 
-    def __init__(self, name: str, cached: int = 500_000):
+    def __init__(self, name: str, cached: int = 400_000):
         self.tok, self.cached = load(name), cached
+        self.model = self.tok.model
         self.specials = specials(name)
         self.split = PieceSplitter(self.tok).split
+        self.space = byte_letters()[32]
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > self.cached:
-                self.words.clear()
-            found = self.words[word] = array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+            found = self.old_words.get(word)
+            if found is None:
+                found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            self.words[word] = found
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isascii() and body.isalpha():  # one word for the vocabulary's pattern
+            return self._word(self.space + body if body is not piece else body)
+        return b"".join([self._word(w) for w in self.split(piece)])
+
+    def _learn(self, parts: list[str], found: list[bytes | None]) -> None:
+        """Fill in what the young generation does not know."""
+        young, old = self.pieces, self.old_pieces
+        for i, known in enumerate(found):
+            if known is None:
+                piece = parts[i]
+                known = young.get(piece) or old.get(piece) or self._piece(piece)
+                young[piece] = found[i] = known
+        if len(young) > self.cached:
+            self.old_pieces, self.pieces = young, {}
+        if len(self.words) > self.cached:
+            self.old_words, self.words = self.words, {}
+
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit numbers in the machine's order."""
         if not spaced_simply(text) or any(s in text for s in self.specials):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else cut_before_spaces(text)
-        parts = [first, *rest] if first else rest
-        known = self.pieces
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > self.cached:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = b"".join([self._word(w) for w in self.split(p)])
-            return b"".join([known[p] for p in parts])
+        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else cut_before_spaces(text)
+        if not parts[0]:
+            del parts[0]
+        found = list(map(self.pieces.get, parts))
+        if None in found:
+            self._learn(parts, found)
+        return b"".join(found)
 
 
 def cut_before_spaces(text: str) -> list[str]:
