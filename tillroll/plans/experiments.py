@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import safe_ratio, segment_order
 from tillroll.functions.prefix import ordinal, md5_chunk
 from tillroll.functions import md5_key
-from tillroll.operators import metrics, models, rankers, recommend
+from tillroll.operators import metrics, models, rank_boosting, rankers, recommend
 from tillroll.operators.features import MODEL_COLUMNS, SEED
 from tillroll.operators.metrics import ALL, Cut
 from tillroll.sources.store import save_params
@@ -505,13 +505,16 @@ def feature_ablation(
 def objective_comparison(
     train: DataFrame, valid: DataFrame, truth: DataFrame, k: int = 10,
     trees: int = models.N_TREES, params: dict | None = None,
-    catalog_size: Column | int = metrics.DEFAULT_CATALOG_SIZE,
+    catalog_size: Column | int = metrics.DEFAULT_CATALOG_SIZE, boosted_ranker: tuple | None = None,
 ) -> DataFrame:
-    """Row classifier against the within-user ranker."""
+    """Row classifier against the rankers inside a user, the linear one and, if given trained, the boosted one."""
     model, fill = models.train_boosting(train, trees, params)
     weights, fill_rank = models.train_pairwise_ranker(train)
     lists = {
         "clasificador": rankers.topk(models.score_boosting(model, fill, valid), "score", k),
         "ranker": rankers.topk(models.score_pairwise(weights, fill_rank, valid), "score", k),
     }
+    if boosted_ranker:
+        scored = rank_boosting.score_rank_boosting(*boosted_ranker, valid)
+        lists["ranker_boosting"] = rankers.topk(scored, "score", k)
     return metrics.compare(lists, truth, k, "clasificador", catalog_size=catalog_size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.operators import features as feat
-from tillroll.operators import metrics, models, rankers
+from tillroll.operators import metrics, models, rank_boosting, rankers
 from tillroll.operators.metrics import ALL, BASE_COLUMNS, NOVELTY_COLUMNS, Cut
 from tillroll.plans import experiments as ex
 from tillroll.plans import export
@@ -477,6 +477,40 @@ def _pairwise(ws):
 
 
 add("r9_train_pairwise_ranker", _pairwise)
+# every pair of a user's bought and unbought items, under the heuristic; a user without both has no rows
+add(
+    "r9_pair_weights",
+    lambda ws: rank_boosting.pair_weights(
+        ws.part("train").select("user_id", "product_id", "etiqueta", rankers.heuristic_score().alias("score"))
+    ).select("user_id", "product_id", "posicion", "peso"),
+    """WITH s AS (
+          SELECT h.user_id, h.product_id, f.etiqueta, h.score,
+                 row_number() OVER (PARTITION BY h.user_id ORDER BY h.score DESC, h.product_id) AS posicion
+          FROM x_heur h JOIN x_features f USING (user_id, product_id) WHERE h.split = 'train'),
+        n AS (SELECT user_id, sum(etiqueta) AS n FROM s GROUP BY 1),
+        i AS (SELECT user_id, (SELECT sum(1 / log2(1 + r)) FROM range(1, n.n::BIGINT + 1) t(r)) AS ideal
+              FROM n WHERE n > 0)
+        SELECT a.user_id, a.product_id, a.posicion, sum(
+            abs(1 / log2(1 + a.posicion) - 1 / log2(1 + b.posicion)) / ideal
+            * CASE WHEN a.etiqueta = 1 THEN exp(b.score - a.score) ELSE exp(a.score - b.score) END) AS peso
+        FROM s a JOIN s b ON a.user_id = b.user_id AND a.etiqueta <> b.etiqueta JOIN i ON i.user_id = a.user_id
+        GROUP BY 1, 2, 3""",
+    "peso",
+)
+
+
+def _rank_boosting(ws):
+    if "rank_boosting" not in ws.made:
+        ws.made["rank_boosting"] = rank_boosting.train_rank_boosting(
+            ws.part("train"), keep=lambda name, df: ws.store.table(f"ranker_{name}", lambda: df)
+        )
+    return ws.made["rank_boosting"]
+
+
+add(
+    "r9_train_rank_boosting",
+    lambda ws: rankers.topk(rank_boosting.score_rank_boosting(*_rank_boosting(ws), ws.part("valid")), "score", 10),
+)
 
 
 def _five_systems(ws):
@@ -536,6 +570,6 @@ add(
     "e11_objective_comparison",
     lambda ws: ex.objective_comparison(
         ws.part("train"), ws.part("valid"), ws.truth, trees=4, params=PARAMS,
-        catalog_size=ws.catalog_size,
+        catalog_size=ws.catalog_size, boosted_ranker=_rank_boosting(ws),
     ),
 )
