@@ -135,7 +135,7 @@ def test_lines_above_the_limits_leave_the_text(spark):
     df = spark.createDataFrame(data, "doc_id BIGINT, text STRING, source STRING").withColumn("n_chars", F.lit(0))
     want = set()
     for d, t, host in data:
-        stays = d in (1, None) or host == "b"  # the first holder, no doc_id, a host with one such text
+        stays = d == 1 or host == "b"  # the first holder, a host with one such text
         want.add((d, "\n".join(x for x in (t or "").split("\n") if stays or x.strip().lower() != "top menu")))
     got = quality_rules.quality_rules(df).collect()
     assert len(got) == len(data) and {(r["doc_id"], r["kept_text"]) for r in got} == want
@@ -144,6 +144,31 @@ def test_lines_above_the_limits_leave_the_text(spark):
     assert len(out) == 30 and all(len(r["text"]) == r["n_chars"] for r in out)
 
 
+def test_rows_of_one_doc_id_are_judged_each_by_its_own_text(spark):
+    menu = "the menu of this site with many links to its other pages"
+    data = [(i, f"{menu}\nown line {i}", "a") for i in range(30)]
+    clean = "nothing that others hold"
+    data += [(7, clean, "a"), (7, f"{menu}\n{menu}\nx", "a"), (None, f"{menu}\n{menu}\ny", "a"), (None, clean + " at all", "a")]
+    data += [(None, f"{menu}\nanother host {i}", "b") for i in range(25)]
+    df = spark.createDataFrame(data, "doc_id BIGINT, text STRING, source STRING")
+    out = quality_rules.quality_rules(df, min_words=0, max_repeat_percent=100).collect()
+    assert len(out) == len(data)
+    lost = {(r["doc_id"], r["text"]): (r["n_removed_lines"], r["kept"]) for r in out}
+    assert lost[(7, clean)] == lost[(None, clean + " at all")] == lost[(0, data[0][1])] == (0, True)
+    assert lost[(7, f"{menu}\n{menu}\nx")] == lost[(None, f"{menu}\n{menu}\ny")] == (2, False)
+    assert lost[(7, data[7][1])] == (1, False)
+    assert all(lost[(None, f"{menu}\nanother host {i}")] == (0, True) for i in range(25))  # no first holder
+
+
+def test_the_line_limit_is_a_count_on_small_hosts_and_a_share_on_large_ones(spark):
+    line = lambda i, n, every: "seen on some pages" if i % every == 0 else f"own {n} {i}"
+    data = [(i, f"{line(i, 'a', 10)}\nt {i}", "small") for i in range(300)]  # 30 of 300
+    data += [(10_000 + i, f"{line(i, 'b', 120)}\nu {i}", "large") for i in range(3000)]  # 25 of 3000
+    df = spark.createDataFrame(data, "doc_id BIGINT, text STRING, source STRING")
+    out = quality_rules.quality_rules(df).where("n_removed_lines > 0").select("doc_id").collect()
+    assert {r["doc_id"] for r in out} == set(range(10, 300, 10))
+
+
 # 5: classifier
 
 

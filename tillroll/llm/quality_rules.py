@@ -20,7 +20,7 @@ from tillroll.llm.line_dedup import reassembled
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
-NEW = [*STAT_NAMES, "base_failed", "removed_share", "kept", "kept_text"]
+NEW = [*STAT_NAMES, "base_failed", "n_removed_lines", "removed_share", "kept", "kept_text"]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -102,62 +102,68 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_docs: int = 20,
-    max_share: float = 0.1,
+    max_share: float = 0.01,
     max_removed: float = 0.5,
 ) -> DataFrame:
-    """`docs` with the counts, base_failed, removed_share, kept and kept_text.
+    """`docs` with the counts, base_failed, n_removed_lines, removed_share, kept and kept_text.
 
     Base rule: fewer than `min_words` words, or more than `max_repeat_percent` of the words inside
     repeated three-word windows. Line rule: a line is above the limits if at least `min_docs` distinct
     documents of its host, and more than `max_share` of them, hold it; it is taken away everywhere but
-    in the first of these documents. A document is depleted, and rejected, if more than `max_removed`
-    of the characters of its lines are taken away. kept_text is the text without these lines, whether
-    the document is kept or not. The counts and the base rule are those of the text as it came. Existing
-    columns with the new names are replaced.
+    in the first of these documents. `min_docs` alone decides on hosts of up to min_docs / max_share
+    documents; the share keeps the headings of a very large host. A document is depleted, and rejected, if more than
+    `max_removed` of the characters of its lines are taken away. kept_text is the text without these
+    lines, whether the document is kept or not, and n_removed_lines their number. The counts and the
+    base rule are those of the text as it came. Existing columns with the new names are replaced.
 
     Documents with the same text on a host count as one, so that copies of a page don't make its lines
     look like boilerplate. A null text has no words, fails the base rule and comes out empty; a null host
-    is a host of its own; rows that share a doc_id are judged together by the line rule; a row without doc_id loses
-    no line. Other columns of `docs` don't matter.
+    is a host of its own. Each row is judged by its own text and host, whatever other rows share its
+    doc_id; the rows of the first doc_id keep the line. A row without doc_id is never the first, unless no
+    row with the line has one; then all keep it. Other columns of `docs` don't matter.
 
     Line counts are reduced before each shuffle, so that a line or host with a third of all rows is
     one row per task. The texts move once, to meet the lines that their document loses, and go to Python
-    for that only where there are some; for a caller who doesn't want kept_text they don't move.
+    for that only where there are some; for a caller who wants neither kept_text nor n_removed_lines they
+    don't move.
     """
     docs = docs.drop(*NEW)
     rows = docs.select("doc_id", F.col(host).alias("host"), "text")
     frequent = saved(frequent_lines(rows, "host", min_docs, max_share), "host-lines")
-    gone = (F.col("doc_id") != F.col("first_id")) & F.col("first_id").isNotNull()
-    lost = F.struct("host", "key")
+    marked = host_lines(rows, "host").join(frequent.withColumn("above", F.lit(True)), ["host", "key"], "left")
+    gone = F.coalesce("above", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     removed = (
-        host_lines(rows, "host")
-        .join(frequent, ["host", "key"], "left")
-        .groupBy("doc_id")
+        marked.groupBy("doc_id", "host", "content")
         .agg(
             F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("removed"),
             F.sum("chars").alias("total"),
-            F.collect_set(F.when(gone, lost)).alias("_lost"),
+            F.collect_set(F.when(gone, F.col("key"))).alias("_lost"),
         )
         .where("removed > 0")
         .select(
-            F.col("doc_id").alias("_lost_id"), (F.col("removed") / F.col("total")).alias("_lost_share"), "_lost"
+            F.col("doc_id").alias("_lost_id"), F.col("host").alias("_lost_host"),
+            F.col("content").alias("_lost_content"), (F.col("removed") / F.col("total")).alias("_lost_share"), "_lost",
         )
     )
     failed = (F.col("n_words") < min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent
     )
     stats = docs.withColumn("_stats", F.pandas_udf(_stats, STATS)("text")).select(*docs.columns, "_stats.*")
-    joined = stats.withColumn("base_failed", failed).join(removed, F.col("doc_id") == F.col("_lost_id"), "left")
     text, own = F.coalesce("text", F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))
-    # a doc_id may come with several hosts, and a row loses the lines of its own
-    keys = F.transform(F.filter("_lost", lambda x: x["host"] == own), lambda x: x["key"])
-    some = F.col("_lost_id").isNotNull()
+    same_row = (
+        F.col("doc_id").eqNullSafe(F.col("_lost_id"))
+        & (own == F.col("_lost_host"))
+        & (digest(text) == F.col("_lost_content"))
+    )
+    joined = stats.withColumn("base_failed", failed).join(removed, same_row, "left")
+    some = F.col("_lost").isNotNull()
     share = F.coalesce("_lost_share", F.lit(0.0))
-    out = joined.withColumn("_without", reassembled(1)(F.when(some, text), F.when(some, keys)))
+    out = joined.withColumn("_without", reassembled(1)(F.when(some, text), F.col("_lost")))
     return out.select(
         *[F.col(c) for c in docs.columns],
         *STAT_NAMES,
         "base_failed",
+        F.when(some, F.col("_without.n_dropped")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"),
         share.alias("removed_share"),
         (~F.col("base_failed") & (share <= max_removed)).alias("kept"),
         F.when(some, F.col("_without.kept")).otherwise(text).alias("kept_text"),

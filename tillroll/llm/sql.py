@@ -25,19 +25,24 @@ FROM marked GROUP BY doc_id
 
 OP4 = rf"""
 WITH lines AS ({LINES}),
-hosted AS (SELECT doc_id, coalesce(source, '') AS host, text, key FROM lines WHERE key <> ''),
+hosted AS (SELECT doc_id, coalesce(source, '') AS host, text, line, pos, key FROM lines),
 hosts AS (
     SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, '')) AS host_docs
     FROM documents GROUP BY 1),
 counts AS (
-    SELECT host, key, count(DISTINCT text) AS n_docs, min(doc_id) AS first_id FROM hosted GROUP BY host, key),
+    SELECT host, key, count(DISTINCT text) AS n_docs, min(doc_id) AS first_id
+    FROM hosted WHERE key <> '' GROUP BY host, key),
 frequent AS (
     SELECT host, key, first_id FROM counts JOIN hosts USING (host)
-    WHERE n_docs >= 20 AND n_docs > host_docs * 0.1),
-depleted AS (
-    SELECT h.doc_id FROM hosted h LEFT JOIN frequent f ON h.host = f.host AND h.key = f.key
-    GROUP BY h.doc_id
-    HAVING sum(CASE WHEN f.first_id <> h.doc_id THEN length(h.key) ELSE 0 END) > 0.5 * sum(length(h.key))),
+    WHERE n_docs >= 20 AND n_docs > host_docs * 0.01),
+marked AS (
+    SELECT h.*, f.first_id IS NOT NULL AND f.first_id <> h.doc_id AS gone
+    FROM hosted h LEFT JOIN frequent f ON h.host = f.host AND h.key = f.key),
+lost AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed_lines,
+           coalesce(sum(length(key)) FILTER (gone), 0) > 0.5 * sum(length(key)) AS depleted,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_text_sha256
+    FROM marked GROUP BY doc_id),
 words AS (
     SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
     FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
@@ -60,10 +65,10 @@ base AS (
            coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
     FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN repeats r USING (doc_id)
     LEFT JOIN dups u USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-       AND doc_id NOT IN (SELECT doc_id FROM depleted) AS kept
-FROM base
+SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR depleted) AS kept,
+       n_removed_lines, kept_text_sha256
+FROM base JOIN lost USING (doc_id)
 """
 
 CONTROL = r"(\||/?s>|/?INST\])"
