@@ -68,6 +68,34 @@ def test_stages(spark, folder):
         assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect()} == want
 
 
+def test_columns_named_like_new_ones_keep_their_values(spark, folder):
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = ("kept", "n_words", "kept_text", "n_dropped", "n_lines", "contaminated", "item_ids", "_row", "_rest", "_place", "base.failed")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names})
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, path).persist()
+        assert kept.schema.names == docs.schema.names, name
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names), name
+
+
+def test_near_duplicates_are_decided_by_row(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    a, b, c, d = (fixtures.prose(rng, 80) for _ in range(4))
+    data = [(None, a, 1), (None, a, 2), (7, a, 3), (7, a, 4), (7, b, 5), (3, c, 6), (None, d, 7), (None, d, 8), (9, b + " end", 9)]
+    data += [(None, "", 10), (None, None, 11), (3, "", 12)]  # without words: linked with nothing
+    docs = spark.createDataFrame(data, "doc_id BIGINT, text STRING, nr INT").repartition(4)
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted(
+        [(7, a), (7, b), (3, c), (0, d), (0, ""), (0, ""), (3, "")]
+    )
+    assert all((r["doc_id"], r["text"], r["nr"]) in data for r in out)
+
+
 def test_the_pipeline_runs_on_an_empty_table(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("false")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
